@@ -4,13 +4,13 @@
    fall on random registers; a register keeps the earliest time, and stores it as an exponentially spaced,
    truncated integer. Sketches of parts merge by maximum, and registers of similar sets agree often.
 2. Documents with equal sets form a class; only its smallest id goes on.
-3. Bands of consecutive registers are grouped by value. Every member of a group is paired with the group's
-   smallest id only, which a hash aggregate with map-side combine finds.
+3. Bands of consecutive registers are grouped by value. Every member of a group is paired with one hub only, the
+   member that shares the most bands with others, which a hash aggregate with map-side combine finds.
 4. Pairs whose Jaccard similarity, estimated jointly from both sketches and both set sizes by maximum
    likelihood, is not far below the threshold are verified on the full sets.
-5. Components of verified links. In groups whose members are not all in one component by then, members of
-   different components are compared in tiles of bounded size, and what they link is added. Within a component
-   no link is missing that could change it, so no pair needs to be listed.
+5. Components of verified links. Groups whose members are not all in one component by then get a second hub from
+   the rest; in what is still open, members of different components are compared exactly in tiles of bounded
+   size, which return a spanning set of the links. Pairs within a component cannot change it and are not listed.
 
 Null or blank texts have the empty set and are linked with nothing. Rows with a null id have null component and kept.
 Rows that share an id are one node. Texts shorter than a shingle count as one whole shingle. An empty
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.text import U, blocks, by_doc, flat, mix, word_hashes
 from strandloom.operators.components import connected_components
-from strandloom.operators.shared import materialise, partitions, release, remove
+from strandloom.operators.shared import materialise, release, remove
 
 REGISTERS, ROWS = 128, 4
 #: SetSketch parameters: ratio of neighbouring register values, rate, and largest value.
@@ -151,8 +151,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     member, _ = materialise(real.join(classes, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.col("n_shingles").alias("n")), "members")
     reps = member.filter("doc_id = rep").select("rep", "n", "bands")
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = keyed.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    grouped, grouped_path = materialise(keyed.join(hubs, ["band", "key"]).filter("rep <> hub"), "groups")
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    grouped, grouped_path = materialise(keyed.join(sizes, ["band", "key"]), "groups")
+    # a member that others resemble in many bands is nearest the middle of its copies
+    degree = grouped.groupBy("rep").agg(F.sum("size").alias("degree"))
+    ranked, ranked_path = materialise(grouped.join(degree, "rep"), "ranked")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for low, high in blocks(offsets):
+                elements, counts = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["doc_id", "s"])
+
+    whole, whole_path = materialise(docs.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
+    whole = whole.dropDuplicates(["doc_id"])
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose estimate is not far below the threshold."""
@@ -170,15 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         return pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are links on the full sets; texts are read for their documents only."""
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = flat(batch.column(1))
-                for low, high in blocks(offsets):
-                    elements, counts = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
-                    ends = np.cumsum(counts)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["doc_id", "s"])
+        """Those of the pairs that are links on the full sets."""
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -189,55 +195,86 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
                     keep.append(100 * both >= hundredths * (len(a) + len(b) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        whole, _ = materialise(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
-        whole = whole.dropDuplicates(["doc_id"])
         out = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         return out.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
-    first, _ = materialise(close(grouped.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "close")
-    links, _ = materialise(verified(first), "links")
+    def with_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        return rows.join(hubs.select("band", "key", "hub"), ["band", "key"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+
+    best = F.max(F.struct("degree", -F.col("rep")))
+    first = ranked.groupBy("band", "key").agg((-best["col2"]).alias("hub"))
+    tested, _ = materialise(close(with_hub(ranked, first)), "close")
+    links, _ = materialise(verified(tested), "links")
     parts, _ = materialise(connected_components(links, "a", "b"), "parts")
 
-    # groups whose members are not all in one component: compare across components, tile by tile
-    named = grouped.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("cr")), "rep", "left").join(parts.select(F.col("node").alias("hub"), F.col("component").alias("ch")), "hub", "left")
-    named = named.select("band", "key", "rep", "hub", F.coalesce("cr", "rep").alias("cr"), F.coalesce("ch", "hub").alias("ch"))
-    split = named.groupBy("band", "key").agg(F.min("cr").alias("low"), F.max("cr").alias("high"), F.first("ch").alias("ch"), F.first("hub").alias("hub"), F.count("*").alias("n")).filter("least(low, ch) <> greatest(high, ch)").filter("n > 1")
-    rows = named.join(split.select("band", "key", "n"), ["band", "key"]).select("band", "key", "n", F.col("rep").alias("id"), F.col("cr").alias("c"))
-    rows, rows_path = materialise(rows, "open")
+    def open_groups() -> DataFrame:
+        """Members of groups that are not all in one component; of groups with the same members only one."""
+        named = ranked.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        stats = named.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("rep") % 1_000_000_000_039).alias("sign"), F.count("*").alias("size")).filter("low <> high and size > 2")
+        one = stats.groupBy("sign", "size").agg(F.min(F.struct("band", "key")).alias("g")).select("g.band", "g.key")
+        return named.join(one, ["band", "key"])
+
+    # once more, from the middle of what is outside the first hub's component
+    rows, rows_path = materialise(open_groups(), "open")
     if not rows.isEmpty():
-        # the hub was compared with all others; one row for each tile pair that the member is in
-        tiles = F.ceil(F.col("n") / TILE).cast("int")
-        rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "c")
-        rows = rows.join(reps.select(F.col("rep").alias("id"), "n", "bands"), "id")
-
-        def across(group: pa.Table) -> pa.Table:
-            ids, comps, tile = (group.column(c).to_numpy() for c in ("id", "c", "tile"))
-            sizes, sketch = group.column("n").to_numpy().astype(float), _sketches(group.column("bands").combine_chunks())
-            t1, t2 = group.column("t1")[0].as_py(), group.column("t2")[0].as_py()
-            a, b = [], []
-            common = np.unique(comps, return_counts=True)
-            most = common[0][common[1].argmax()]
-            for i in np.flatnonzero(comps != most):  # of two members of different components, one is not in the largest
-                js = np.flatnonzero((comps != comps[i]) & ((comps == most) | (ids > ids[i])) & ((tile == (t2 if tile[i] == t1 else t1)) if t1 != t2 else True))
-                js = js[(sketch[js] == sketch[i]).mean(1) >= margin / 2]
-                if len(js):
-                    good = js[estimate(np.repeat(sketch[i][None], len(js), 0), sketch[js], np.full(len(js), sizes[i]), sizes[js]) >= margin]
-                    a += [int(ids[i])] * len(good)
-                    b += ids[good].tolist()
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        more = rows.groupBy("band", "key", "t1", "t2").applyInArrow(across, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more, _ = materialise(more.join(first, ["a", "b"], "left_anti"), "more")
-        extra, _ = materialise(verified(more), "links")
+        main = rows.join(first, ["band", "key"]).filter("rep = hub").select("band", "key", F.col("c").alias("main"))
+        outer = rows.join(main, ["band", "key"])
+        second = outer.filter("c <> main").groupBy("band", "key").agg((-best["col2"]).alias("hub"))
+        again, _ = materialise(verified(close(with_hub(rows, second))), "links")
+        links = links.unionByName(again)
+        parts, _ = materialise(connected_components(links, "a", "b"), "parts")
+        remove(spark, rows_path)
+        rows, rows_path = materialise(open_groups(), "open")
+    if not rows.isEmpty():  # exactly: members of different components meet in tiles of bounded size
+        rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), F.col("rep").alias("doc_id"), "c")
+        rows = rows.join(whole, "doc_id")
+        extra, _ = materialise(rows.groupBy("band", "key", "t1", "t2").applyInArrow(lambda group: _tile_links(group, hundredths), "a long, b long").distinct(), "links")
         if not extra.isEmpty():
-            parts, _ = materialise(connected_components(links.unionByName(extra), "a", "b"), "parts")
-    remove(spark, rows_path)
-    remove(spark, grouped_path)
+            links = links.unionByName(extra)
+            parts, _ = materialise(connected_components(links, "a", "b"), "parts")
+    for path in (rows_path, grouped_path, ranked_path, whole_path):
+        remove(spark, path)
     release(spark)
     named = member.select("doc_id", "rep").distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = sigs.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def _tile_links(group: pa.Table, hundredths: int) -> pa.Table:
+    """A spanning set of the links between members of different components: all intersections of the tile at
+    once as products of the incidence matrix, over shingles that several members have."""
+    order = np.argsort(group.column("doc_id").to_numpy(), kind="stable")
+    ids, comps = (group.column(c).to_numpy()[order] for c in ("doc_id", "c"))
+    own = [np.frombuffer(x.as_buffer(), U) for x in group.column("s").combine_chunks().take(pa.array(order))]
+    sizes = np.array([len(x) for x in own])
+    values, which, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = times[which] > 1
+    row, column = np.repeat(np.arange(len(ids)), sizes)[shared], (np.cumsum(times > 1) - 1)[which][shared]
+    by_column = np.argsort(column, kind="stable")
+    row, column = row[by_column], column[by_column]
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    for low in range(0, int((times > 1).sum()), 4096):
+        part = slice(*np.searchsorted(column, (low, low + 4096)))
+        incidence = np.zeros((len(ids), 4096), np.float32)
+        incidence[row[part], column[part] - low] = 1
+        both += incidence @ incidence.T
+    link = (100 * both >= hundredths * (sizes[:, None] + sizes[None, :] - both)) & (comps[:, None] != comps[None, :])
+    part_of = {int(c): int(c) for c in comps}
+
+    def find(x: int) -> int:
+        while part_of[x] != x:
+            part_of[x] = part_of[part_of[x]]
+            x = part_of[x]
+        return x
+
+    a, b = [], []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(link, 1))), strict=True):
+        x, y = find(int(comps[i])), find(int(comps[j]))
+        if x != y:
+            part_of[max(x, y)] = min(x, y)
+            a.append(int(ids[j]))
+            b.append(int(ids[i]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
