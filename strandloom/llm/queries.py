@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm.neardup import near_duplicates
 from strandloom.llm.packing import best_fit_pack
+from strandloom.llm.suffix import digests, repeated_spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,17 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048, end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL: dict[str, str] = {}
