@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.chunks import small_batches
 from strandloom.llm.text import U, blocks, by_doc, flat, mix, word_hashes
 from strandloom.operators.components import connected_components
 from strandloom.operators.shared import materialise, release, remove
@@ -142,6 +143,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links of Jaccard
     similarity >= threshold, a number of hundredths) and kept (doc_id = component_id)."""
     spark = docs.sparkSession
+    small_batches(spark)
     hundredths = round(100 * threshold)
     margin = threshold - 6 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.chunks import small_batches
 from strandloom.llm.text import blocks, flat
 from strandloom.operators.shared import materialise, partitions
 
@@ -172,6 +173,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """Each piece with its sequence_id and offset. Pieces are ranked within their length by a range sort and
     per-partition counts, so no length's pieces meet in one task."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}

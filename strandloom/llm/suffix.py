@@ -33,7 +33,7 @@ from strandloom.llm import chunks
 from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash
 from strandloom.operators.shared import materialise, partitions, release, remove
 
-CHUNK, SEGMENT = 8 << 20, 1 << 20
+CHUNK, SEGMENT = 4 << 20, 1 << 19
 #: Bytes of an anchor; surroundings of one anchor from which it is dealt over SPREAD buckets; from which strings are sorted one by one.
 ANCHOR, MANY, SPREAD, FEW = 24, 4096, 64, 12
 LAST = np.iinfo(np.int64).max
@@ -278,6 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
     spark, shards = docs.sparkSession, partitions(docs.sparkSession)
+    chunks.small_batches(spark)
     docs = docs.drop("removed")
     payload, asked, path = chunks.chunked(docs, text_col, CHUNK, lambda batch: _requests(batch, id_col, text_col, length, shards), "suffix")
     status, status_path = materialise(asked.groupBy("shard").applyInArrow(_status, chunks.FIELDS), "status")
