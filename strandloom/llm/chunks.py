@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from strandloom.llm.text import trim
 from strandloom.operators.shared import materialise
 
 FIELDS = "chunk long, shard int, blob binary, kind int"
@@ -74,6 +75,7 @@ def chunked(df: DataFrame, text: str, most: int, requests: Callable[[pa.RecordBa
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     table, path = materialise(df.mapInArrow(run, FIELDS), tag, "kind")
     return table.filter(f"kind = {PAYLOAD}"), table.filter(f"kind = {REQUEST}"), path

@@ -77,7 +77,7 @@ class Groups:
             low.append(l + at)
             end.append(e + at)
             anchor.append(a + at)
-            key.append(kgram[a])
+            key.append(mix(kgram[a]))  # the least hashes of their strings: mixed again, they are even
             body.append(mix(content + mix((a - l).astype(U) * U(512) + (e - l).astype(U))))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.low, self.end, self.anchor = (join(x, np.int64) for x in (low, end, anchor))
