@@ -86,7 +86,9 @@ def with_answers(payload: DataFrame, answers: DataFrame, run: Callable[[int, pa.
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         back = sorted(zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), right.column("kind").to_pylist(), strict=True), key=lambda x: (x[2], x[0]))
-        return run(left.column("chunk")[0].as_py(), unpack(left.column("blob")[0].as_py()), back)
+        out = run(left.column("chunk")[0].as_py(), unpack(left.column("blob")[0].as_py()), back)
+        trim()
+        return out
 
     return payload.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import chunks
-from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash
+from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash, trim
 from strandloom.operators.shared import materialise, partitions, release, remove
 
 CHUNK, SEGMENT = 4 << 20, 1 << 19
@@ -242,15 +242,20 @@ def _bucket(rows: pa.Table, length: int) -> tuple[list, list]:
                 np.add.at(later, (anchor[i] - left)[both], 1)
                 np.add.at(later, (anchor[i] + right - length + 1)[both], -1)
     later = np.cumsum(later)
-    large = (number > FEW)[label]
-    if large.any():
-        rank = order[large]
+    steps = np.r_[np.arange(0, length - 7, 8), length - 8]
+    large, batch, size = np.flatnonzero(number > FEW), [], 0
+    for k, g in enumerate(large):  # anchors with many surroundings: all their strings, some anchors at a time
+        batch.append(order[begins[g] : begins[g] + number[g]])
+        size += int(number[g])
+        if size < 4000 and k + 1 < len(large):
+            continue
+        rank = np.concatenate(batch)
+        which = np.repeat(np.arange(len(batch)), [len(x) for x in batch])
+        batch, size = [], 0
         count = end[rank] - base[rank] - length + 1
         own = np.repeat(rank, count)
         at = np.repeat(base[rank], count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        group = np.repeat(label[large], count) * 1024 + (anchor[own] - at)
-        steps = np.r_[np.arange(0, length - 7, 8), length - 8]
-        inner, same = multikey_sort(text, at, group, steps)
+        inner, same = multikey_sort(text, at, np.repeat(which, count) * 1024 + (anchor[own] - at), steps)
         by = np.lexsort((start[own[inner]] + at[inner] - base[own[inner]], ties[own[inner]], ids[own[inner]], same))
         inner, same = inner[by], same[by]
         again = np.zeros(len(same), bool)
@@ -305,6 +310,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         if not held:
             return
         masks, firsts = _bucket(pa.Table.from_batches(held).combine_chunks(), length)
+        del held
+        trim()
         by_chunk: dict[int, list] = {}
         for number, inst, mask in masks:
             by_chunk.setdefault(number, []).append((inst, mask))
@@ -318,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*whole, *extra], kinds, strict=True)], names=["chunk", "shard", "blob", "kind", "hi", "lo", "doc_id", "tie", "at", "inst", "w"])
 
-    spread = suffixes.repartitionByRange(shards, "lead", "salt")
+    spread = suffixes.repartitionByRange(4 * shards, "lead", "salt")
     done, done_path = materialise(spread.mapInArrow(sort, chunks.FIELDS + ", hi long, lo long, doc_id long, tie long, at long, inst int, w int"), "sorted")
     # across bucket boundaries: the first of all strings with this digest, by a hash aggregate
     first = done.filter("kind is null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "tie", "at", "chunk", "inst", "w")).alias("f"))
