@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm.lm import lm_scores
 from strandloom.llm.neardup import near_duplicates
 from strandloom.llm.packing import best_fit_pack
 from strandloom.llm.suffix import digests, repeated_spans
@@ -25,6 +26,10 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100))
 
@@ -35,6 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
