@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of n characters may differ from a document's passage by floor(rate * n) edits. It is cut into one
-piece more than that, so one piece at least is found exactly in every such passage. One Aho-Corasick automaton finds all
-pieces of all items in a pass over each document, and Myers' bit-parallel distance decides within the places that a hit
-allows. Both sides are compared in lower case with white space as single blanks.
+piece more than that (one more again if that makes pairs), so one piece at least is found exactly in every such passage,
+and of one pair at least one piece is exact and the other has one edit at most. One Aho-Corasick automaton finds all
+pieces of all items in a pass over each document; where a hit's partner is near too, Myers' bit-parallel distance decides
+within the place that the hit allows. Both sides are compared in lower case with white space as single blanks.
 
 The benchmark goes to the workers in parts of at most ``part_bytes`` of text, one pass over the documents for each, so
 what is broadcast is bounded whatever its size. Null or blank items and texts match nothing. Repeated items or documents
@@ -35,9 +36,12 @@ class Item:
         for k, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << k
 
-    def pieces(self) -> Iterator[tuple[int, str]]:
-        cuts = [k * self.n // (self.allowed + 1) for k in range(self.allowed + 2)]
-        return ((a, self.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+    def pieces(self) -> Iterator[tuple[int, str, str, bool]]:
+        """Offset, text, the partner's text, and whether that follows."""
+        number = self.allowed + 1 + (self.allowed + 1) % 2
+        cuts = [k * self.n // number for k in range(number + 1)]
+        cut = [self.text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return ((cuts[k], cut[k], cut[k ^ 1], k % 2 == 0) for k in range(number) if cut[k])
 
     def distance(self, passage: str) -> tuple[int, int]:
         """The least edit distance of the item to a substring of the passage, and that substring's end (Myers 1999)."""
@@ -59,15 +63,25 @@ class Item:
         return best
 
 
+def near(passage: str, at: int, partner: str, follows: bool) -> bool:
+    """Whether the partner may begin (or end) there with one edit at most: then one of its halves is exact."""
+    n = len(partner)
+    half = n // 2
+    if follows:
+        return passage.startswith(partner[:half], at) or any(passage.startswith(partner[half:], max(0, at + half + d)) for d in (0, -1, 1))
+    begin = at - n + half
+    return passage.startswith(partner[half:], max(0, begin)) or any(passage.startswith(partner[:half], max(0, at - n + d)) for d in (0, -1, 1))
+
+
 class Matcher:
     def __init__(self, rows: list[tuple[int | None, str | None]], rate: float):
         import ahocorasick
 
         self.items = [Item(number, text, rate) for number, raw in rows if (text := plain(raw))]
-        found: dict[str, list[tuple[int, int]]] = {}
+        found: dict[str, list[tuple[int, int, str, bool]]] = {}
         for k, item in enumerate(self.items):
-            for offset, piece in item.pieces():
-                found.setdefault(piece, []).append((k, offset))
+            for offset, piece, partner, follows in item.pieces():
+                found.setdefault(piece, []).append((k, offset, partner, follows))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -81,7 +95,9 @@ class Matcher:
             return []
         spans: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.automaton.iter(passage):
-            for k, offset in places:
+            for k, offset, partner, follows in places:
+                if not near(passage, end + 1 if follows else end + 1 - size, partner, follows):
+                    continue
                 item = self.items[k]
                 start = end + 1 - size - offset
                 low, high = max(0, start - item.allowed), min(len(passage), start + item.n + item.allowed)
