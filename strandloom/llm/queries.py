@@ -12,8 +12,10 @@ from strandloom.llm.decontam import benchmark_matches
 from strandloom.llm.lm import lm_scores
 from strandloom.llm.neardup import near_duplicates
 from strandloom.llm.packing import best_fit_pack
+from strandloom.llm.quality import quality_scores
 from strandloom.llm.suffix import digests, repeated_spans
 from strandloom.llm.topk import exact_top_k
+from strandloom.llm.toxicity import toxicity
 from strandloom.llm.warc import archive, read_captures
 
 
@@ -39,6 +41,10 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), train_rows=4000).drop("text")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048, end_id=0)
 
@@ -67,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_topk": op2_exact_topk,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_warc": op6_warc,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_chat_formatting": op10_chat_formatting,
 }
