@@ -126,27 +126,35 @@ class Matcher:
 _matchers: dict[tuple, Matcher] = {}
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, part_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row (doc_id, item_id, distance, allowed, end_at in the plain text) for each item that a document holds."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
+def _matcher(shared, rate: float) -> Matcher:
+    key = (getattr(shared, "_path", None) or id(shared), rate)
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(shared.value, rate)
+    return _matchers[key]
+
+
+def _parts(benchmark: DataFrame, part_bytes: int, item_col: str, text_col: str) -> Iterator:
+    """The benchmark as broadcasts of about part_bytes of text, at least one."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 + size // part_bytes
-    out = None
     for part in range(parts):
         rows = [tuple(x) for x in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
-        if out is not None and not rows:
-            continue
-        shared = spark.sparkContext.broadcast(rows)
+        if rows or part == 0:
+            yield spark.sparkContext.broadcast(rows)
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, part_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row (doc_id, item_id, distance, allowed, end_at in the plain text) for each item that a document holds."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for shared in _parts(benchmark, part_bytes, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            key = (shared.id if hasattr(shared, "id") else id(shared), rate)
-            if key not in _matchers:
-                _matchers.clear()
-                _matchers[key] = Matcher(shared.value, rate)
-            match = _matchers[key]
+            match = _matcher(shared, rate)
             for batch in batches:
                 found = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in match(text)]
                 if found:
@@ -155,3 +163,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
         found = docs.mapInArrow(run, MATCHES)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, part_bytes: int = 4 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no item, in all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    for shared in _parts(benchmark, part_bytes, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            match = _matcher(shared, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not match(text) for text in batch.column(text_col).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
