@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.chunks import small_batches
+from strandloom.llm.text import trimmed
 
 MATCHES = "doc_id long, item_id long, distance int, allowed int, end_at long"
 
@@ -160,7 +161,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "allowed", "end_at"])
 
-        found = docs.mapInArrow(run, MATCHES)
+        found = docs.mapInArrow(trimmed(run), MATCHES)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -175,5 +176,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, part
             for batch in batches:
                 yield batch.filter(pa.array([not match(text) for text in batch.column(text_col).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.chunks import small_batches
-from strandloom.llm.text import U, blocks, by_doc, flat, mix, word_hashes
+from strandloom.llm.text import U, blocks, by_doc, flat, mix, trim, trimmed, word_hashes
 from strandloom.operators.components import connected_components
 from strandloom.operators.shared import materialise, release, remove
 
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "d1", "d2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["doc_id", "s"])
 
-    whole, whole_path = materialise(docs.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
+    whole, whole_path = materialise(docs.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(trimmed(sets), "doc_id long, s binary"), "sets")
     whole = whole.dropDuplicates(["doc_id"])
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("xa"))
         right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("xb"))
         sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * hundredths
-        return pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(trimmed(run), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are links on the full sets."""
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         out = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        return out.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+        return out.select("a", "b", "sa", "sb").mapInArrow(trimmed(check), "a long, b long")
 
     def with_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
         return rows.join(hubs.select("band", "key", "hub"), ["band", "key"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -272,6 +272,8 @@ def _tile_links(group: pa.Table, hundredths: int) -> pa.Table:
             x = part_of[x]
         return x
 
+    del both, own, values, which
+    trim()
     a, b = [], []
     for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(link, 1))), strict=True):
         x, y = find(int(comps[i])), find(int(comps[j]))

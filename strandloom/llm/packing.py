@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.chunks import small_batches
-from strandloom.llm.text import blocks, flat
+from strandloom.llm.text import blocks, flat, trimmed
 from strandloom.operators.shared import materialise, partitions
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         start, length, part = start + length, capacity, part + 1
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), PIECES)
 
 
 class CapacityTree:

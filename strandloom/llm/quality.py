@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.chunks import small_batches
-from strandloom.llm.text import U, blocks, by_doc, flat, mix, word_bounds, word_hashes
+from strandloom.llm.text import U, blocks, by_doc, flat, mix, trimmed, word_bounds, word_hashes
 
 BUCKETS = 1 << 18
 #: Trigrams of no evidence that every text has besides: a short text says little.
@@ -151,7 +151,7 @@ def quality_scores(docs: DataFrame, train_rows: int = 4000, threshold: float = 0
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
     # a row for each combination of answers: 3 ** len(LABELLERS) at most
-    counted = texts.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    counted = texts.select("text").mapInArrow(trimmed(vote), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     patterns, n = np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], float)
     share, table = accuracies(patterns, n)
 
@@ -171,7 +171,7 @@ def quality_scores(docs: DataFrame, train_rows: int = 4000, threshold: float = 0
     weights = np.zeros(BUCKETS + 3)
     if len(n):
         part = min(1.0, 1.1 * train_rows / n.sum())
-        chosen = texts.filter((F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) < part).orderBy("h").limit(train_rows).mapInArrow(sample, "f binary, v binary, x binary, y double").collect()
+        chosen = texts.filter((F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) < part).orderBy("h").limit(train_rows).mapInArrow(trimmed(sample), "f binary, v binary, x binary, y double").collect()
         if chosen:
             x = [(np.frombuffer(r["f"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(float)) for r in chosen]
             values = np.array([np.frombuffer(r["x"], float) for r in chosen])
@@ -191,4 +191,4 @@ def quality_scores(docs: DataFrame, train_rows: int = 4000, threshold: float = 0
                 good[low:high] = np.where(counts > 0, posterior(answers(values, counts) + 1, share, table), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(good), pa.array(found >= threshold)], names=[*batch.schema.names, "quality_score", "quality_posterior", "quality_kept"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(trimmed(score), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import chunks
-from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash, trim
+from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash, trim, trimmed
 from strandloom.operators.shared import materialise, partitions, release, remove
 
 CHUNK, SEGMENT = 4 << 20, 1 << 19
@@ -404,7 +404,7 @@ def without_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in keep.fields]
             yield pa.RecordBatch.from_arrays(columns, names=keep.names)
 
-    return docs.mapInArrow(run, keep)
+    return docs.mapInArrow(trimmed(run), keep)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,4 +424,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             n, gone, number, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col, "removed").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select(F.col(id_col).cast("long"), text_col, "removed").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

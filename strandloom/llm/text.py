@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -119,6 +119,16 @@ def by_doc(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def trimmed(run):
+    """A function for mapInArrow that gives freed memory back after its last batch."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def trim() -> None:
     """Give freed memory back to the system; workers wait between stages with what they hold."""
     import ctypes

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.chunks import small_batches
+from strandloom.llm.text import trimmed
 
 WINDOWS, STEMS, COMMON, LEAST, CAP = (40, 64), (4, 5, 6), 6000, 2.0, 12
 #: Bytes that both dictionaries have and every window begins with, so that each is stored compressed.
@@ -160,4 +161,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, he
             held = [i is not None and held_out(i) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
