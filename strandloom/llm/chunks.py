@@ -93,10 +93,12 @@ def with_answers(payload: DataFrame, answers: DataFrame, run: Callable[[int, pa.
     return payload.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Hand whole texts to Python in small batches: what a worker and its JVM hold then doesn't depend on the rows' sizes."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
         found = int(spark.conf.get(key).rstrip("b"))
         if found <= 0 or found > most:
             spark.conf.set(key, str(most))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))

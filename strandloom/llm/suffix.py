@@ -33,7 +33,7 @@ from strandloom.llm import chunks
 from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash, trim, trimmed
 from strandloom.operators.shared import materialise, partitions, release, remove
 
-CHUNK, SEGMENT = 4 << 20, 1 << 19
+CHUNK, SEGMENT = 2 << 20, 1 << 18
 #: Bytes of an anchor; surroundings of one anchor from which it is dealt over SPREAD buckets; from which strings are sorted one by one.
 ANCHOR, MANY, SPREAD, FEW = 24, 4096, 64, 12
 LAST = np.iinfo(np.int64).max
