@@ -1,14 +1,508 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import sequences as S
+from strandloom.operators import graph as G
+from strandloom.operators import intervals as I
+from strandloom.operators import kmers as K
+from strandloom.operators import stats as A
+from strandloom.operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function under its own name, with the SQL that gives the same rows."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            SQL[run.__name__] = sql
+        return run
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def seqs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), S.project(F.col("text")).alias("seq"))
+
+
+def contigs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("read_id"), S.project(F.col("text")).alias("seq"))
+
+
+def event_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """One symbol for each event of a user, in order."""
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.left("event_type", F.lit(1)).alias("c")))).alias("e"))
+    return rows.select(F.col("user_id").alias("read_id"), F.array_join(F.transform("e", lambda x: x["c"]), "").alias("seq"))
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    low = F.col("l_partkey") % 1000
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("contig"), low.alias("lo"), (low + F.col("l_quantity").cast("long")).alias("hi"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 100 + 1).alias("contig"), (F.col("p_size") * 20).cast("long").alias("pos"))
+
+
+_MAP = "translate(lower(regexp_replace(text,'[^A-Za-z]','','g')),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC')"
+SEQS = f"(SELECT doc_id AS read_id, {_MAP} AS seq FROM documents)"
+CONTIGS = f"(SELECT item_id AS read_id, {_MAP} AS seq FROM benchmark)"
+EVENTS = "(SELECT user_id AS read_id, string_agg(left(event_type,1),'' ORDER BY ts, event_id) AS seq FROM events GROUP BY user_id)"
+SEGMENTS = "(SELECT l_suppkey AS contig, l_partkey % 1000 AS lo, l_partkey % 1000 + CAST(l_quantity AS BIGINT) AS hi, l_orderkey * 10 + l_linenumber AS key FROM lineitem)"
+POINTS = "(SELECT p_partkey AS key, p_partkey % 100 + 1 AS contig, CAST(p_size * 20 AS BIGINT) AS pos FROM part)"
+
+
+def KMERS(source: str, k: int) -> str:
+    return f"(SELECT read_id, i AS pos, substr(seq, i + 1, {k}) AS kmer FROM (SELECT read_id, seq, unnest(range(0, length(seq) - {k - 1})) AS i FROM {source}))"
+
+
+def SPECTRUM(source: str, k: int) -> str:
+    return f"(SELECT kmer, count(*) AS cnt FROM {KMERS(source, k)} GROUP BY kmer)"
+
+
+def EDGES(source: str, k: int) -> str:
+    return f"(SELECT substr(kmer,1,{k - 1}) AS src, substr(kmer,2,{k - 1}) AS dst, kmer AS label, cnt AS cov FROM {SPECTRUM(source, k)})"
+
+
+def DEGREES(edges: str) -> str:
+    return f"(SELECT v, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS v, 0 AS i, 1 AS o FROM {edges} UNION ALL SELECT dst, 1, 0 FROM {edges}) GROUP BY v)"
+
+
+def RC(x: str) -> str:
+    return f"reverse(translate({x},'ACGT','TGCA'))"
+
+
+MERGED = f"(SELECT contig, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY contig ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {SEGMENTS})) GROUP BY contig, part)"
+PAIRS = f"(SELECT x.read_id AS a, y.read_id AS b, x.seq AS s, y.seq AS t FROM {CONTIGS} x JOIN {CONTIGS} y ON y.read_id = x.read_id + 1)"
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    c = contigs(spark, sf)
+    return c.select(F.col("read_id").alias("a"), (F.col("read_id") + 1).alias("b"), F.col("seq").alias("s")).join(c.select(F.col("read_id").alias("b"), F.col("seq").alias("t")), "b")
+
+
+# sequence functions
+
+
+@query(f"SELECT read_id, {RC('seq')} AS rc FROM {SEQS}")
+def d1_revcomp(spark, sf):
+    return seqs(spark, sf).select("read_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"SELECT s.read_id, coalesce(c, '') AS compressed FROM {SEQS} s LEFT JOIN (SELECT read_id, string_agg(kmer,'' ORDER BY pos) AS c FROM (SELECT *, lag(kmer) OVER (PARTITION BY read_id ORDER BY pos) AS p FROM {KMERS(SEQS, 1)}) WHERE p IS NULL OR p <> kmer GROUP BY read_id) x USING (read_id)")
+def d2_homopolymer(spark, sf):
+    return seqs(spark, sf).select("read_id", S.compress_runs(F.col("seq")).alias("compressed"))
+
+
+@query(f"SELECT read_id, CAST(pos AS BIGINT) AS pos, CAST(sum(CASE WHEN p IS NULL OR p <> kmer THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS lifted FROM (SELECT *, lag(kmer) OVER (PARTITION BY read_id ORDER BY pos) AS p FROM {KMERS(CONTIGS, 1)})")
+def d7_coord_lift(spark, sf):
+    w = Window.partitionBy("read_id").orderBy("pos")
+    new = F.when(F.col("kmer") == F.lag("kmer").over(w), 0).otherwise(1)
+    rows = K.kmers(contigs(spark, sf), 1).withColumn("new", new)
+    return rows.select("read_id", F.col("pos").cast("long").alias("pos"), (F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("lifted"))
+
+
+@query(f"SELECT a, b, coalesce(min(i) FILTER (WHERE substr(s, i + 1, 1) <> substr(t, i + 1, 1)), min(least(length(s), length(t)))) AS n FROM (SELECT *, unnest(range(0, least(length(s), length(t)))) AS i FROM {PAIRS}) GROUP BY a, b")
+def d9_common_prefix(spark, sf):
+    return pairs(spark, sf).select("a", "b", S.common_prefix(F.col("s"), F.col("t")).alias("n"))
+
+
+@query(f"SELECT a, b, levenshtein(s, t) AS distance FROM {PAIRS}")
+def d17_levenshtein(spark, sf):
+    return pairs(spark, sf).select("a", "b", F.levenshtein("s", "t").cast("long").alias("distance"))
+
+
+@query(f"SELECT a, b, count(*) FILTER (WHERE substr(s, i + 1, 1) <> substr(t, i + 1, 1)) AS n FROM (SELECT *, unnest(range(0, least(length(s), length(t)))) AS i FROM {PAIRS}) GROUP BY a, b")
+def d23_hamming(spark, sf):
+    return pairs(spark, sf).select("a", "b", S.hamming(F.col("s"), F.col("t")).cast("long").alias("n"))
+
+
+@query(f"SELECT read_id, min(substr(seq, i, length(seq)) || left(seq, i - 1)) AS rotation FROM (SELECT read_id, seq, CAST(unnest(range(1, length(seq) + 1)) AS BIGINT) AS i FROM {CONTIGS}) GROUP BY read_id")
+def d24_min_rotation(spark, sf):
+    return contigs(spark, sf).filter("seq <> ''").select("read_id", S.min_rotation(F.col("seq")).alias("rotation"))
+
+
+@query("SELECT a.l_orderkey, greatest(0, greatest(a.l_partkey, b.l_partkey) - least(a.l_partkey + CAST(a.l_quantity AS BIGINT), b.l_partkey + CAST(b.l_quantity AS BIGINT))) AS gap, greatest(a.l_partkey, b.l_partkey) < least(a.l_partkey + CAST(a.l_quantity AS BIGINT), b.l_partkey + CAST(b.l_quantity AS BIGINT)) AS meets, greatest(0, least(a.l_partkey + CAST(a.l_quantity AS BIGINT), b.l_partkey + CAST(b.l_quantity AS BIGINT)) - greatest(a.l_partkey, b.l_partkey)) AS common, greatest(a.l_partkey + CAST(a.l_quantity AS BIGINT), b.l_partkey + CAST(b.l_quantity AS BIGINT)) - least(a.l_partkey, b.l_partkey) AS united FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2")
+def d30_segment_algebra(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("hi"))
+    both = rows.filter("l_linenumber = 1").drop("l_linenumber").join(rows.filter("l_linenumber = 2").select("l_orderkey", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "l_orderkey")
+    parts = I.segment_algebra(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2"))
+    return both.select("l_orderkey", *[c.cast("long").alias(n) if n != "meets" else c.alias(n) for n, c in parts.items()])
+
+
+@query(f"SELECT key, CAST(sum(hi - lo) OVER (PARTITION BY contig ORDER BY key, lo, hi ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix FROM {SEGMENTS}")
+def d31_prefix_sums(spark, sf):
+    return A.prefix_sums(segments(spark, sf).withColumn("size", F.col("hi") - F.col("lo")), "contig", ["key", "lo", "hi"], "size").select("key", "prefix")
+
+
+# filters
+
+
+@query(f"SELECT read_id, length(seq) AS len FROM {SEQS} WHERE length(seq) >= 1000")
+def c1_length_filter(spark, sf):
+    return seqs(spark, sf).select("read_id", F.length("seq").cast("long").alias("len")).filter("len >= 1000")
+
+
+@query(f"SELECT read_id, seq FROM {SEQS} WHERE seq <= {RC('seq')}")
+def c4_canonical_only(spark, sf):
+    return seqs(spark, sf).filter(F.col("seq") <= S.reverse_complement(F.col("seq")))
+
+
+@query(f"SELECT read_id, substr(seq, 11, 50) AS part FROM {SEQS}")
+def c5_subseq(spark, sf):
+    return seqs(spark, sf).select("read_id", F.expr("substr(seq, 11, 50)").alias("part"))
+
+
+# k-mers
+
+
+@query(f"SELECT kmer, cnt FROM {SPECTRUM(SEQS, 7)}")
+def e1_kmers(spark, sf):
+    return K.spectrum(seqs(spark, sf), 7)
+
+
+def _hash(x: str, k: int) -> str:
+    return " + ".join(f"(instr('ACGT', substr({x}, {i + 1}, 1)) - 1) * CAST({239 ** (k - 1 - i)} AS BIGINT)" for i in range(k))
+
+
+MINIMIZERS = f"""(WITH h AS (SELECT read_id, pos, least(f, r) AS h, count(*) OVER (PARTITION BY read_id) AS n FROM (SELECT read_id, pos, {_hash('kmer', 7)} AS f, {_hash(RC('kmer'), 7)} AS r FROM {KMERS(SEQS, 7)})),
+    w AS (SELECT read_id, min(h) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS h, pos, n FROM h)
+    SELECT DISTINCT read_id, h FROM (SELECT read_id, h FROM w WHERE pos + 10 < n UNION ALL SELECT read_id, min(h) FROM h WHERE pos < 10 AND n >= 10 GROUP BY read_id))"""
+
+
+@query(f"SELECT read_id, CAST(h AS BIGINT) AS h FROM {MINIMIZERS}")
+def e2_minimizers(spark, sf):
+    return K.minimizers(seqs(spark, sf), 7, 10)
+
+
+@query(f"SELECT DISTINCT CAST(h AS BIGINT) AS h FROM {MINIMIZERS}")
+def e3_minimizer_set(spark, sf):
+    return K.minimizer_set(seqs(spark, sf), 7, 10)
+
+
+_E10 = f"(SELECT DISTINCT e FROM (SELECT kmer AS e FROM {KMERS(SEQS, 10)} UNION ALL SELECT {RC('kmer')} FROM {KMERS(SEQS, 10)}))"
+
+
+@query(f"SELECT DISTINCT least(kmer, {RC('kmer')}) AS kmer FROM (SELECT kmer, count(r) AS a, count(l) AS b FROM (SELECT substr(e, 1, 9) AS kmer, substr(e, 10, 1) AS r, NULL AS l FROM {_E10} UNION ALL SELECT substr(e, 2, 9), NULL, substr(e, 1, 1) FROM {_E10}) GROUP BY kmer) WHERE a <> 1 OR b <> 1")
+def e4_junctions(spark, sf):
+    return K.junctions(seqs(spark, sf), 9)
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, kmer, cnt FROM {SPECTRUM(EVENTS, k)}" for k in (2, 3, 4)))
+def e7_kmer_index(spark, sf):
+    return K.kmer_index(event_strings(spark, sf), 2, 4)
+
+
+@query(f"WITH m AS (SELECT * FROM {KMERS(CONTIGS, 5)}), c AS (SELECT kmer, count(*) AS cnt FROM m GROUP BY kmer), s AS (SELECT read_id, min(pos) AS a, max(pos) AS b FROM m WHERE kmer IN (SELECT kmer FROM c WHERE cnt >= 20) GROUP BY read_id) SELECT kmer, cnt FROM c WHERE cnt >= 20 OR (cnt >= 4 AND kmer IN (SELECT kmer FROM m JOIN s USING (read_id) WHERE pos BETWEEN a AND b))")
+def e8_frequent_kmers(spark, sf):
+    return K.frequent(contigs(spark, sf), 5, 20)
+
+
+@query(f"SELECT kmer, min(read_id) AS read_id, CAST(min(pos) AS BIGINT) AS pos FROM {KMERS(SEQS, 11)} GROUP BY kmer HAVING count(*) = 1")
+def e12_unique_kmers(spark, sf):
+    return K.unique(seqs(spark, sf), 11).select("kmer", "read_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"SELECT read_id, CAST(pos AS BIGINT) AS pos, kmer FROM {KMERS(SEQS, 15)} JOIN (SELECT read_id, length(seq) AS n FROM {SEQS}) USING (read_id) WHERE n > 50 AND pos > 0 AND pos % 50 = 0")
+def e13_anchors(spark, sf):
+    return K.anchors(seqs(spark, sf), 15, 50).withColumn("pos", F.col("pos").cast("long"))
+
+
+# graphs
+
+
+@query(f"SELECT src, dst, label, cov FROM {EDGES(EVENTS, 4)}")
+def f11_dbg_edges(spark, sf):
+    return G.edges_of(event_strings(spark, sf), 4)
+
+
+@query(f"WITH e AS (SELECT * FROM {EDGES(EVENTS, 6)}), d AS (SELECT * FROM {DEGREES('e')}) SELECT src, dst, label, cov FROM e JOIN d a ON a.v = src JOIN d b ON b.v = dst WHERE cov >= 3 OR (a.n_in > 0 AND b.n_out > 0)")
+def f11_tip_round(spark, sf):
+    return G.without_tips(G.edges_of(event_strings(spark, sf), 6), 3)
+
+
+def _language(spark, sf, lang):
+    return table(spark, sf, "documents").filter(F.col("lang") == lang).select(F.col("doc_id").alias("read_id"), S.project(F.col("text")).alias("seq"))
+
+
+_LANG = lambda x: f"(SELECT doc_id AS read_id, {_MAP} AS seq FROM documents WHERE lang = '{x}')"
+
+
+@query(f"SELECT kmer, CASE WHEN b.cnt IS NULL THEN 'first' WHEN a.cnt IS NULL THEN 'second' ELSE 'both' END AS color, coalesce(a.cnt, 0) AS cnt_a, coalesce(b.cnt, 0) AS cnt_b FROM {SPECTRUM(_LANG('en'), 8)} a FULL JOIN {SPECTRUM(_LANG('fr'), 8)} b USING (kmer)")
+def f13_three_color(spark, sf):
+    return G.three_colors(_language(spark, sf, "en"), _language(spark, sf, "fr"), 8)
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey * 1000 + c_custkey % 40 AS a, c_nationkey * 1000 + c_custkey % 56 AS b FROM customer), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS top FROM s UNION SELECT s.b, r.top FROM r JOIN s ON r.node = s.a) SELECT node, min(top) AS component FROM r GROUP BY node")
+def h4_components(spark, sf):
+    c = table(spark, sf, "customer")
+    base = F.col("c_nationkey").cast("long") * 1000
+    return connected_components(c.select((base + F.col("c_custkey") % 40).alias("src"), (base + F.col("c_custkey") % 56).alias("dst")))
+
+
+@query(f"SELECT v, n_in, n_out FROM {DEGREES(EDGES(EVENTS, 5))} WHERE n_in > 1 AND n_out > 1")
+def h15_complex_nodes(spark, sf):
+    return G.complex_vertices(G.edges_of(event_strings(spark, sf), 5))
+
+
+@query(None)
+def h2_contract(spark, sf):
+    return G.contract(G.edges_of(contigs(spark, sf), 12))
+
+
+@query(f"SELECT least(n_in, 4) AS n_in, least(n_out, 4) AS n_out, count(*) AS n FROM {DEGREES(EDGES(EVENTS, 5))} GROUP BY ALL")
+def i3_inout_matrix(spark, sf):
+    return G.degree_matrix(G.edges_of(event_strings(spark, sf), 5)).select(F.col("n_in").cast("long").alias("n_in"), F.col("n_out").cast("long").alias("n_out"), "n")
+
+
+@query(f"SELECT least(cov, 200) AS cov, count(*) AS n, CAST(sum(length(label)) AS BIGINT) AS total FROM {EDGES(SEQS, 9)} GROUP BY ALL")
+def i4_cov_hist(spark, sf):
+    return G.coverage_histogram(G.edges_of(seqs(spark, sf), 9))
+
+
+@query(f"SELECT CAST(least(ceil(length(seq) / 500.0), 20) AS BIGINT) AS bucket, count(*) AS n FROM {SEQS} GROUP BY ALL")
+def i5_histogram(spark, sf):
+    return A.histogram(seqs(spark, sf), F.length("seq"), 500, 20)
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS total, (SELECT max(len) FROM (SELECT len, sum(len) OVER (ORDER BY len DESC) AS cum, sum(len) OVER () AS t FROM (SELECT length(seq) AS len FROM {SEQS})) WHERE cum >= t * 0.5) AS ng FROM (SELECT length(seq) AS len FROM {SEQS})")
+def i8_ng50(spark, sf):
+    return A.ng(seqs(spark, sf).select(F.length("seq").cast("long").alias("len")))
+
+
+@query(f"SELECT n, CAST(total AS BIGINT) AS total, len AS median FROM (SELECT length(seq) AS len, row_number() OVER (ORDER BY length(seq)) AS k, count(*) OVER () AS n, sum(length(seq)) OVER () AS total FROM {SEQS}) WHERE k = n // 2 + 1")
+def i10_length_stats(spark, sf):
+    return A.upper_median(seqs(spark, sf).select(F.length("seq").cast("long").alias("len")), "len")
+
+
+@query(f"SELECT contig, max(hi - lo) AS span FROM {SEGMENTS} GROUP BY contig")
+def i11_best_span(spark, sf):
+    return A.best_span(segments(spark, sf), "contig")
+
+
+@query("SELECT name, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, bool_or(c) AS circular FROM (SELECT l_suppkey AS name, 0 AS i, 1 AS o, l_suppkey = l_partkey % 100 AS c FROM lineitem UNION ALL SELECT l_partkey % 100, 1, 0, l_suppkey = l_partkey % 100 FROM lineitem) GROUP BY name")
+def i12_degree_stats(spark, sf):
+    return G.segment_degrees(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")))
+
+
+@query("SELECT sum(l_quantity * l_linenumber) / CAST(sum(l_linenumber) AS DOUBLE) AS mean FROM lineitem")
+def i18_weighted_cov(spark, sf):
+    return A.weighted_mean(table(spark, sf, "lineitem"), "l_quantity", "l_linenumber")
+
+
+RUNS = f"(SELECT read_id, row_number() OVER (PARTITION BY read_id ORDER BY g) - 1 AS pos, symbol, run_len FROM (SELECT read_id, g, any_value(kmer) AS symbol, count(*) AS run_len FROM (SELECT *, sum(CASE WHEN p IS NULL OR p <> kmer THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(kmer) OVER (PARTITION BY read_id ORDER BY pos) AS p FROM {KMERS(SEQS, 1)})) GROUP BY read_id, g))"
+
+
+@query(f"SELECT lang AS contig, CAST(pos AS BIGINT) AS pos, CAST(quantile_disc(run_len, 0.5) AS INTEGER) AS run_len FROM {RUNS} JOIN documents ON doc_id = read_id GROUP BY lang, pos")
+def i19_vote_median(spark, sf):
+    votes = K.runs(K.spread(seqs(spark, sf))).join(table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), F.col("lang").alias("contig")), "read_id")
+    return A.consensus_votes(votes).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
+def i20_dedup_last(spark, sf):
+    return A.last_by(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_type", "value")
+
+
+@query("SELECT user_id, min_by(event_type, event_id) AS event_type, min_by(value, event_id) AS value FROM events GROUP BY user_id")
+def i20_dedup_first(spark, sf):
+    return A.first_by(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_type", "value")
+
+
+# joins
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
+def j5_semi(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey").join(table(spark, sf, "lineitem").filter("l_quantity > 48"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
+def j6_anti(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey").join(table(spark, sf, "lineitem").filter("l_quantity > 48"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+
+
+@query(f"WITH m AS (SELECT DISTINCT read_id, kmer FROM {KMERS(CONTIGS, 8)}), r AS (SELECT kmer FROM m GROUP BY kmer HAVING count(*) BETWEEN 2 AND 50) SELECT x.read_id AS a, y.read_id AS b, count(*) AS n FROM m x JOIN m y ON x.kmer = y.kmer AND x.read_id < y.read_id WHERE x.kmer IN (SELECT kmer FROM r) GROUP BY ALL")
+def j8_shared_kmer_pairs(spark, sf):
+    return K.shared_pairs(contigs(spark, sf), 8)
+
+
+@query(f"SELECT p.key, count(*) AS n FROM {POINTS} p JOIN {SEGMENTS} s ON p.contig = s.contig AND lo <= pos AND pos < hi GROUP BY p.key")
+def j9_point_in_interval(spark, sf):
+    return I.points_in(points(spark, sf), segments(spark, sf).drop("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _flagged(spark, sf, flag):
+    low = F.col("l_partkey") % 1000
+    return table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("contig"), low.alias("lo"), (low + F.col("l_quantity").cast("long")).alias("hi"))
+
+
+@query("WITH s AS (SELECT l_suppkey AS contig, l_partkey % 1000 AS lo, l_partkey % 1000 + CAST(l_quantity AS BIGINT) AS hi, l_returnflag AS f FROM lineitem) SELECT a.contig, count(*) AS n, CAST(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS BIGINT) AS total FROM s a JOIN s b ON a.contig = b.contig AND a.lo < b.hi AND b.lo < a.hi WHERE a.f = 'R' AND b.f = 'A' GROUP BY a.contig")
+def j10_interval_overlap(spark, sf):
+    both = I.overlaps(_flagged(spark, sf, "R"), _flagged(spark, sf, "A"))
+    return both.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.least("hi", "hi2") - F.greatest("lo", "lo2")).alias("total"))
+
+
+@query(f"SELECT contig, count(*) AS n FROM {SEGMENTS} WHERE lo < 500 AND 500 < hi GROUP BY contig")
+def j11_stab(spark, sf):
+    return segments(spark, sf).filter("lo < 500 and 500 < hi").groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT key FROM {POINTS} p WHERE NOT EXISTS (SELECT 1 FROM {SEGMENTS} s WHERE s.contig = p.contig AND lo <= pos AND pos < hi)")
+def j12_uncovered_points(spark, sf):
+    return I.uncovered_points(points(spark, sf), segments(spark, sf).drop("key"), "key").select("key")
+
+
+@query(f"SELECT key FROM {POINTS} p WHERE EXISTS (SELECT 1 FROM {SEGMENTS} s WHERE s.contig = p.contig AND abs(lo - pos) <= 2)")
+def j13_band(spark, sf):
+    return I.band_semi(points(spark, sf), segments(spark, sf).select("contig", F.col("lo").alias("pos")), 2).select("key")
+
+
+@query("SELECT p_brand, CASE WHEN l_quantity = p_size THEN 'same' WHEN l_quantity > p_size THEN 'more' ELSE 'less' END AS kind, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def j14_classify(spark, sf):
+    kind = F.when(F.col("l_quantity") == F.col("p_size"), "same").when(F.col("l_quantity") > F.col("p_size"), "more").otherwise("less")
+    return table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber) AS place FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def j15_ordered_join(spark, sf):
+    both = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate").join(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("o_custkey", "l_orderkey", "l_linenumber", G.ranked_by("o_custkey", "o_orderdate", "o_orderkey", "l_linenumber").cast("long").alias("place"))
+
+
+# windows and sets
+
+
+@query("SELECT event_id, m AS least FROM (SELECT event_id, min(value) OVER w AS m, count(*) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE k = 5")
+def k1_sliding_min(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, 4)
+    return table(spark, sf, "events").select("event_id", F.min("value").over(w).alias("least"), F.count("*").over(w).alias("k")).filter("k = 5").drop("k")
+
+
+@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS cum FROM lineitem")
+def k5_cumulative(spark, sf):
+    return A.prefix_sums(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", ["l_linenumber", "l_quantity"], "l_quantity").select("l_orderkey", "l_linenumber", F.col("prefix").alias("cum"))
+
+
+@query(f"SELECT key, lo - max(hi) OVER (PARTITION BY contig ORDER BY lo, hi, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM {SEGMENTS}")
+def k6_last_to_end(spark, sf):
+    w = Window.partitionBy("contig").orderBy("lo", "hi", "key").rowsBetween(Window.unboundedPreceding, -1)
+    return segments(spark, sf).select("key", (F.col("lo") - F.max("hi").over(w)).alias("since"))
+
+
+@query(f"WITH e AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, lo AS pos, 1 AS d FROM {SEGMENTS} UNION ALL SELECT contig, hi, -1 FROM {SEGMENTS}) GROUP BY ALL), s AS (SELECT contig, pos, sum(d) OVER (PARTITION BY contig ORDER BY pos) AS depth, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS fin FROM e), t AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY contig ORDER BY pos), 0) AS bef FROM s), p AS (SELECT *, sum(CASE WHEN bef = 0 AND depth > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos) AS part FROM t) SELECT contig, min(pos) AS lo, max(fin) AS hi, CAST(max(depth) AS BIGINT) AS top FROM p WHERE depth > 0 GROUP BY contig, part HAVING max(depth) > 3")
+def k7_depth_islands(spark, sf):
+    return I.depth_islands(segments(spark, sf), 3)
+
+
+@query(f"SELECT contig, lo, hi FROM (SELECT contig, coalesce(lag(hi) OVER (PARTITION BY contig ORDER BY lo), 0) AS lo, lo AS hi FROM {MERGED}) WHERE lo < hi")
+def k8_uncovered_regions(spark, sf):
+    return I.uncovered(segments(spark, sf))
+
+
+@query(f"SELECT contig, max(t) AS covered, max(size) AS largest, count(*) FILTER (WHERE cum * 100 < t * 95) + 1 AS n FROM (SELECT contig, size, CAST(sum(size) OVER (PARTITION BY contig ORDER BY size DESC, lo ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum, CAST(sum(size) OVER (PARTITION BY contig) AS BIGINT) AS t FROM (SELECT contig, lo, hi - lo AS size FROM {MERGED})) GROUP BY contig")
+def k9_cover95(spark, sf):
+    return A.covered_share(I.merged(segments(spark, sf)), "contig")
+
+
+@query(f"SELECT contig, min(lo) AS lo, max(lo) AS hi, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY lo ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT contig, lo, CASE WHEN lo - lag(lo) OVER (PARTITION BY contig ORDER BY lo) <= 2 THEN 0 ELSE 1 END AS new FROM {SEGMENTS})) GROUP BY contig, part HAVING count(*) >= 4")
+def k10_gap_clusters(spark, sf):
+    return I.clusters(segments(spark, sf).select("contig", F.col("lo").alias("pos")), 2, 4)
+
+
+@query(f"SELECT contig, lo, hi, n FROM {MERGED}")
+def k11_merge_segments(spark, sf):
+    return I.merged(segments(spark, sf))
+
+
+@query("SELECT event_id, max(CASE WHEN value > 50 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(CASE WHEN value > 50 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events")
+def k12_prev_next_reliable(spark, sf):
+    return A.reliable_neighbours(table(spark, sf, "events"), "user_id", "event_id", F.col("value") > 50).select("event_id", "before", "after")
+
+
+@query(f"SELECT key, m AS mean FROM (SELECT key, avg(hi - lo) OVER w AS m, count(*) OVER w AS k FROM {SEGMENTS} WINDOW w AS (PARTITION BY contig ORDER BY key, lo, hi ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE k = 4")
+def k14_running_mean(spark, sf):
+    return A.running_mean(segments(spark, sf).withColumn("size", F.col("hi") - F.col("lo")), "contig", ["key", "lo", "hi"], "size", 4).select("key", "mean")
+
+
+@query(f"SELECT read_id, length(seq) AS len FROM {SEQS} ORDER BY len DESC, read_id LIMIT 100")
+def k15_topk(spark, sf):
+    return seqs(spark, sf).select("read_id", F.length("seq").cast("long").alias("len")).orderBy(F.desc("len"), "read_id").limit(100)
+
+
+@query("SELECT n, count(*) AS c FROM (SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY n")
+def k20_union_all(spark, sf):
+    both = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")).unionAll(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n")))
+    return both.groupBy("n").agg(F.count("*").alias("c"))
+
+
+@query(f"SELECT kmer FROM {KMERS(_LANG('en'), 8)} INTERSECT SELECT kmer FROM {KMERS(_LANG('de'), 8)}")
+def k21_intersect(spark, sf):
+    return K.spectrum(_language(spark, sf, "en"), 8).select("kmer").intersect(K.spectrum(_language(spark, sf, "de"), 8).select("kmer"))
+
+
+@query(f"SELECT kmer FROM {KMERS(_LANG('en'), 8)} EXCEPT SELECT kmer FROM {KMERS(_LANG('de'), 8)}")
+def k21_except(spark, sf):
+    return K.spectrum(_language(spark, sf, "en"), 8).select("kmer").subtract(K.spectrum(_language(spark, sf, "de"), 8).select("kmer"))
+
+
+# alignment, correction, consensus
+
+
+@query(f"SELECT substr(kmer, 1, 2) AS prefix, CAST(sum(cnt) AS BIGINT) AS n FROM {SPECTRUM(EVENTS, 5)} GROUP BY ALL")
+def g13_count_prefix(spark, sf):
+    return K.spectrum(event_strings(spark, sf), 5).groupBy(F.expr("substr(kmer, 1, 2)").alias("prefix")).agg(F.sum("cnt").alias("n"))
+
+
+@query(f"SELECT DISTINCT r.read_id, c.read_id AS contig, CAST(c.pos - r.pos AS BIGINT) AS \"at\" FROM {KMERS(SEQS, 15)} r JOIN {KMERS(CONTIGS, 15)} c ON r.kmer = c.kmer AND c.pos % 5 = 1")
+def g25_seed_offsets(spark, sf):
+    return K.seed_offsets(seqs(spark, sf), contigs(spark, sf), 15, 5).withColumn("at", F.col("at").cast("long"))
+
+
+@query(f"SELECT r.read_id, c.read_id AS contig, CAST(instr(r.seq, c.seq) - 1 AS BIGINT) AS pos FROM {SEQS} r JOIN {CONTIGS} c ON instr(r.seq, c.seq) > 0 WHERE length(c.seq) >= 20")
+def g26_exact_containment(spark, sf):
+    whole = contigs(spark, sf).filter(F.length("seq") >= 20).select(F.col("read_id").alias("contig"), F.col("seq").alias("cseq"), F.expr("substr(seq, 1, 20)").alias("kmer"))
+    reads = seqs(spark, sf)
+    found = K.kmers(reads, 20).join(whole, "kmer").select("read_id", "contig", "cseq", "pos")
+    return found.join(reads, "read_id").filter("substr(seq, pos + 1, length(cseq)) = cseq").groupBy("read_id", "contig").agg(F.min("pos").cast("long").alias("pos"))
+
+
+@query("WITH e AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, l_orderkey * 10 + l_linenumber AS label, CAST(l_quantity AS BIGINT) AS cov FROM lineitem WHERE l_returnflag = 'R') SELECT src, dst, max_by(label, cov * CAST(1000000000 AS BIGINT) - label) AS keep, CAST(sum(cov) AS BIGINT) AS total FROM e GROUP BY src, dst HAVING count(*) = 2 AND sum(cov) <= 60")
+def l7_bulge_choice(spark, sf):
+    rows = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label"), F.col("l_quantity").cast("long").alias("cov"))
+    return G.bulge_choice(rows, 60)
+
+
+@query(f"SELECT read_id FROM {EVENTS} WHERE read_id NOT IN (SELECT read_id FROM {KMERS(EVENTS, 6)} WHERE kmer IN (SELECT kmer FROM {SPECTRUM(EVENTS, 6)} WHERE cnt < 2))")
+def l13_invalidate(spark, sf):
+    found = K.kmers(event_strings(spark, sf), 6)
+    bad = found.groupBy("kmer").agg(F.count("*").alias("c")).filter("c < 2").select("kmer")
+    return event_strings(spark, sf).select("read_id").join(found.join(bad, "kmer", "left_semi"), "read_id", "left_anti")
+
+
+@query("SELECT c_nationkey, low, bal AS high FROM (SELECT c_nationkey, bal, lag(bal) OVER (PARTITION BY c_nationkey ORDER BY bal) AS low FROM (SELECT c_nationkey, CAST(floor(c_acctbal) AS BIGINT) AS bal FROM customer WHERE c_acctbal >= 1)) WHERE bal >= low * 1.5")
+def l26_ratio_gap(spark, sf):
+    rows = table(spark, sf, "customer").filter("c_acctbal >= 1").select("c_nationkey", F.floor("c_acctbal").cast("long").alias("bal"))
+    return A.ratio_gaps(rows, "c_nationkey", "bal")
+
+
+@query(f"SELECT read_id AS contig, seq FROM {SEQS} WHERE seq <> ''")
+def m12_assemble(spark, sf):
+    return A.assembled(K.runs(K.spread(seqs(spark, sf))).withColumnRenamed("read_id", "contig"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["e2_minimizers"](spark, sf_dir)
+    return e2_minimizers(spark, sf_dir)
