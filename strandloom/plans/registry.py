@@ -486,10 +486,10 @@ def l7_bulge_choice(spark, sf):
     return G.bulge_choice(rows, 60)
 
 
-@query(f"SELECT read_id FROM {EVENTS} WHERE read_id NOT IN (SELECT read_id FROM {KMERS(EVENTS, 6)} WHERE kmer IN (SELECT kmer FROM {SPECTRUM(EVENTS, 6)} WHERE cnt < 2))")
+@query(f"SELECT read_id FROM {EVENTS} WHERE read_id NOT IN (SELECT read_id FROM {KMERS(EVENTS, 4)} WHERE kmer IN (SELECT kmer FROM {SPECTRUM(EVENTS, 4)} WHERE cnt < 6))")
 def l13_invalidate(spark, sf):
-    found = K.kmers(event_strings(spark, sf), 6)
-    bad = found.groupBy("kmer").agg(F.count("*").alias("c")).filter("c < 2").select("kmer")
+    found = K.kmers(event_strings(spark, sf), 4)
+    bad = found.groupBy("kmer").agg(F.count("*").alias("c")).filter("c < 6").select("kmer")
     return event_strings(spark, sf).select("read_id").join(found.join(bad, "kmer", "left_semi"), "read_id", "left_anti")
 
 
