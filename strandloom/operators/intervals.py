@@ -78,3 +78,27 @@ def clusters(points: DataFrame, gap: int, least: int, by: str = "contig") -> Dat
 def segment_algebra(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     """Of [a, b) and [c, d): gap between them, whether and how far they overlap, and what unites them."""
     return {"gap": F.greatest(F.lit(0), F.greatest(a, c) - F.least(b, d)), "meets": F.greatest(a, c) < F.least(b, d), "common": F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c)), "united": F.greatest(b, d) - F.least(a, c)}
+
+
+def contained(inner: DataFrame, outer: DataFrame, bin_width: int = BIN) -> DataFrame:
+    """Pairs with [lo, hi) within [lo2, hi2)."""
+    return overlaps(inner, outer, bin_width).filter("lo2 <= lo and hi <= hi2")
+
+
+def binned_coverage(intervals: DataFrame, width: int, by: str = "contig") -> DataFrame:
+    """(by, bin, total): covered places, with multiplicity, in bins of a width."""
+    rows = binned(intervals, width)
+    size = F.least("hi", (F.col("bin") + 1) * width) - F.greatest("lo", F.col("bin") * width)
+    return rows.groupBy(by, "bin").agg(F.sum(size).alias("total"))
+
+
+def low_regions(rows: DataFrame, low: Column, gap: int, by: str, order: str) -> DataFrame:
+    """Stretches (by, lo, hi, n) of low places that fewer than ``gap`` good ones separate."""
+    return clusters(rows.filter(low).select(by, F.col(order).alias("pos")), gap, 1, by)
+
+
+def simulated(placements: DataFrame, references: DataFrame) -> DataFrame:
+    """Reads (key, seq) cut out of references at [lo, hi), reversed on strand -; ends are clamped."""
+    both = placements.join(references.select(F.col("read_id").alias("contig"), "seq"), "contig")
+    part = F.expr("substr(seq, greatest(lo, 0) + 1, greatest(least(hi, length(seq)) - greatest(lo, 0), 0))")
+    return both.select("key", F.when(F.col("strand") == "-", F.reverse(F.translate(part, "ACGT", "TGCA"))).otherwise(part).alias("seq"))

@@ -143,6 +143,11 @@ def shared_pairs(reads: DataFrame, k: int, most: int = 50) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def lookup(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(kmer, cnt) of the asked k-mers, 0 for those not there."""
+    return asked.join(counts, "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+
+
 def runs(reads: DataFrame) -> DataFrame:
     """(read_id, pos, symbol, run_len): runs of equal symbols, pos counted in runs."""
     coded = reads.select("read_id", F.posexplode(F.regexp_extract_all("seq", F.lit(r"((.)\2*)"), 1)).alias("pos", "run"))

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import alignment as D
 from strandloom.functions import sequences as S
 from strandloom.operators import graph as G
 from strandloom.operators import intervals as I
 from strandloom.operators import kmers as K
+from strandloom.operators import paths as P
 from strandloom.operators import stats as A
 from strandloom.operators.components import connected_components
+from strandloom.sources import formats as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,6 +128,11 @@ def d17_levenshtein(spark, sf):
     return pairs(spark, sf).select("a", "b", F.levenshtein("s", "t").cast("long").alias("distance"))
 
 
+@query(f"SELECT a, b, CASE WHEN last = least_ THEN n ELSE first_ END AS n FROM (SELECT a, b, max(n) AS n, min(d) AS least_, arg_max(d, n) AS last, min(n) FILTER (WHERE d = m) AS first_ FROM (SELECT *, min(d) OVER (PARTITION BY a, b) AS m FROM (SELECT a, b, j AS n, levenshtein(s, left(t, j)) AS d FROM (SELECT *, CAST(unnest(range(0, length(t) + 1)) AS BIGINT) AS j FROM {PAIRS}))) GROUP BY a, b)")
+def d18_best_prefix(spark, sf):
+    return pairs(spark, sf).select("a", "b", D.best_prefix_length(F.col("s"), F.col("t")).alias("n"))
+
+
 @query(f"SELECT a, b, count(*) FILTER (WHERE substr(s, i + 1, 1) <> substr(t, i + 1, 1)) AS n FROM (SELECT *, unnest(range(0, least(length(s), length(t)))) AS i FROM {PAIRS}) GROUP BY a, b")
 def d23_hamming(spark, sf):
     return pairs(spark, sf).select("a", "b", S.hamming(F.col("s"), F.col("t")).cast("long").alias("n"))
@@ -504,5 +512,83 @@ def m12_assemble(spark, sf):
     return A.assembled(K.runs(K.spread(seqs(spark, sf))).withColumnRenamed("read_id", "contig"))
 
 
+# sources and sinks
+
+
+@query(f"SELECT concat_ws('_', 'e', src, dst, CAST(length(label) - length(src) AS VARCHAR), CAST(cov AS VARCHAR)) AS name, label AS seq FROM {EDGES(EVENTS, 4)}")
+def b1_edge_fasta(spark, sf):
+    return X.edge_fasta(G.edges_of(event_strings(spark, sf), 4))
+
+
+@query(f"WITH e AS (SELECT src || '>' || dst AS name, * FROM {EDGES(EVENTS, 3)}) SELECT concat_ws(chr(9), 'S', name, label, 'KC:i:' || cov) AS value FROM e UNION ALL SELECT concat_ws(chr(9), 'L', a.name, '+', b.name, '+', '2M') FROM e a JOIN e b ON a.dst = b.src")
+def b5_gfa(spark, sf):
+    return X.gfa_lines(G.edges_of(event_strings(spark, sf), 3), 3)
+
+
+@query(f"SELECT '\"' || src || '\" -> \"' || dst || '\" [label=\"' || length(label) || ' ' || cov || '\"]' AS value FROM {EDGES(EVENTS, 3)}")
+def b6_dot(spark, sf):
+    return X.dot_lines(G.edges_of(event_strings(spark, sf), 3))
+
+
+_PLACED = "(SELECT key, contig % 40 AS contig, lo % 300 - 20 AS lo, lo % 300 - 20 + hi - lo AS hi, CASE WHEN key % 2 = 0 THEN '-' ELSE '+' END AS strand FROM " + SEGMENTS + ")"
+_PART = "substr(seq, greatest(lo, 0) + 1, greatest(least(hi, length(seq)) - greatest(lo, 0), 0))"
+
+
+@query(f"SELECT key, CASE WHEN strand = '-' THEN {RC(_PART)} ELSE {_PART} END AS seq FROM {_PLACED} p JOIN {CONTIGS} c ON c.read_id = p.contig")
+def c16_simulated_reads(spark, sf):
+    rows = segments(spark, sf)
+    low = F.col("lo") % 300 - 20
+    placed = rows.select("key", (F.col("contig") % 40).alias("contig"), low.alias("lo"), (low + F.col("hi") - F.col("lo")).alias("hi"), F.when(F.col("key") % 2 == 0, "-").otherwise("+").alias("strand"))
+    return I.simulated(placed, contigs(spark, sf))
+
+
+@query(f"SELECT kmer, coalesce(c.cnt, 0) AS cnt FROM (SELECT DISTINCT kmer FROM {KMERS(CONTIGS, 9)}) LEFT JOIN {SPECTRUM(SEQS, 9)} c USING (kmer)")
+def e10_kmer_lookup(spark, sf):
+    return K.lookup(K.spectrum(seqs(spark, sf), 9), K.kmers(contigs(spark, sf), 9).select("kmer").distinct())
+
+
+@query(f"SELECT least(kmer, {RC('kmer')}) AS kmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM {SPECTRUM(SEQS, 9)} GROUP BY ALL")
+def h1_unique_edges(spark, sf):
+    return K.spectrum(seqs(spark, sf), 9, True)
+
+
+@query(f"SELECT contig, b AS bin, CAST(sum(least(hi, (b + 1) * 100) - greatest(lo, b * 100)) AS BIGINT) AS total FROM (SELECT *, unnest(range(lo // 100, (hi - 1) // 100 + 1)) AS b FROM {SEGMENTS} WHERE lo < hi) GROUP BY contig, b")
+def i15_binned_coverage(spark, sf):
+    return I.binned_coverage(segments(spark, sf), 100)
+
+
+@query(f"SELECT a.contig, count(*) AS n FROM {SEGMENTS} a JOIN {SEGMENTS} b ON a.contig = b.contig AND b.lo <= a.lo AND a.hi <= b.hi WHERE a.lo < a.hi AND a.hi - a.lo <= 3 GROUP BY a.contig")
+def j17_contained(spark, sf):
+    rows = segments(spark, sf).drop("key")
+    return I.contained(rows.filter("hi - lo <= 3"), rows).groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@query("WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value FROM events), l AS (SELECT user_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) <= 3 THEN 0 ELSE 1 END AS new FROM e WHERE value < 20), p AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM l) SELECT user_id, min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM p GROUP BY user_id, part")
+def k13_low_regions(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "value", G.ranked_by("user_id", "ts", "event_id").cast("long").alias("pos"))
+    return I.low_regions(rows, F.col("value") < 20, 3, "user_id", "pos")
+
+
+def _contracted(spark, sf):
+    return P.identified(G.contract(G.edges_of(contigs(spark, sf), 12)))
+
+
+@query(None)
+def g1_align(spark, sf):
+    return P.align(contigs(spark, sf), _contracted(spark, sf), 12)
+
+
+@query(f"SELECT read_id, seq FROM {CONTIGS} WHERE length(seq) >= 12")
+def g6_spell(spark, sf):
+    edges = _contracted(spark, sf)
+    return P.spell(P.align(contigs(spark, sf), edges, 12), edges, 12)
+
+
+@query(f"SELECT CAST(sum(length(seq) - 11) AS BIGINT) AS bases FROM {CONTIGS} WHERE length(seq) >= 12")
+def i1_edge_coverage(spark, sf):
+    edges = _contracted(spark, sf)
+    return P.coverage(P.align(contigs(spark, sf), edges, 12), edges).agg(F.sum("bases").alias("bases"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e2_minimizers(spark, sf_dir)
