@@ -32,7 +32,7 @@ from strandloom.llm import chunks
 from strandloom.llm.text import U, flat, mix, word_hashes
 from strandloom.operators.shared import materialise, partitions, release, remove
 
-CHUNK = 6 << 20
+CHUNK = 8 << 20
 END = U(0x656E64)
 UNKNOWN, BEGIN = -1, -2
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -127,7 +127,10 @@ def _sequence(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def word_level(keys: np.ndarray, counts: np.ndarray) -> Level:
-    return Level(**_sequence("words", keys), counts=counts)
+    """Words with counts, numbered by falling count: what is written of frequent words is small."""
+    numbers = np.empty(len(keys), np.int64)
+    numbers[np.argsort(-counts, kind="stable")] = np.arange(len(keys))
+    return Level(**_sequence("words", keys), counts=counts, numbers=numbers)
 
 
 def pair_level(contexts: np.ndarray, totals: np.ndarray, children: np.ndarray, counts: np.ndarray, prior: float) -> Level:
@@ -173,7 +176,7 @@ def _requests(batch: pa.RecordBatch, id_col: str, held_out, shards: int) -> tupl
     train = np.bincount(which[np.repeat(~held, counts + 1)], minlength=len(values)).astype(np.uint32)
     bounds = _bounds(values, shards)
     asked = [(s, chunks.arrays(values[a:b], train[a:b])) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
-    blob = chunks.arrays(held.astype(np.uint8), (counts + 1).astype(np.int64), which.astype(np.uint32), train)
+    blob = chunks.arrays(held.astype(np.uint8), (counts + 1).astype(np.int64), which.astype(np.uint32))
     kept = pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["ids", "blob"])
     return kept, asked
 
@@ -191,12 +194,12 @@ def _words(group: pa.Table, shards: int) -> pa.Table:
     total = np.add.reduceat(counts[order].astype(np.int64), first)
     seen = total > 0
     level, shard = word_level(k[first][seen], total[seen]), group.column("shard")[0].as_py()
-    words, stored = level.sequence("words"), level["counts"]
+    words, stored, numbers = level.sequence("words"), level["counts"], level["numbers"]
     out = []
     for x in asked:
         at, equal = words.successor(x[0])
         c = np.where(equal, stored[np.minimum(at, max(len(stored) - 1, 0))], 0) if len(stored) else np.zeros(len(at), np.int64)
-        number = np.where(equal, at * shards + shard, UNKNOWN)
+        number = np.where(equal, numbers[np.minimum(at, len(stored) - 1)] * shards + shard, UNKNOWN) if len(stored) else np.full(len(at), UNKNOWN)
         small = not len(number) or number.max() < 2**31
         out.append(chunks.arrays(c.astype(np.uint32 if not len(c) or c.max() < 2**32 else np.int64), number.astype(np.int32 if small else np.int64)))
     n = len(out)
@@ -208,7 +211,7 @@ class Chunk:
 
     def __init__(self, batch: pa.RecordBatch, back: list[tuple[int, bytes, int]], shards: int, tokens: int):
         self.ids = batch.column("ids")[0].as_py()
-        held, self.counts, which, self.train = chunks.unarrays(batch.column("blob")[0].as_py())
+        held, self.counts, which = chunks.unarrays(batch.column("blob")[0].as_py())
         self.held, self.which = held > 0, which.astype(np.int64)
         answers = [chunks.unarrays(blob) for _, blob, kind in back if kind == chunks.ANSWER]
         self.c = np.concatenate([x[0] for x in answers]).astype(np.int64)
