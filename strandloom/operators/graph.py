@@ -70,33 +70,29 @@ def through(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.select("v").join(into, "v").join(out, "v")
 
 
-def contract(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Unbranching paths as one edge each: (src, dst, label, cov, n). Inner vertices have one way in and one out. Pointers
-    to the next inner vertex double their reach each round; a pure cycle begins at its smallest vertex."""
-    spark = edges.sparkSession
-    inner = degrees(edges).filter("n_in = 1 and n_out = 1").select("v")
-    keep = edges.withColumn("id", F.xxhash64("src", "dst", "label"))
-    # each edge points to the edge before it, where the vertex between them is inner
+def chained(keep: DataFrame, inner: DataFrame, rounds: int = 40) -> DataFrame:
+    """Rows (id, src, dst, ...) with head, rank and ring: edges that meet at inner vertices (v) are one chain, in order of rank.
+    Pointers to the row before double their reach each round; a ring begins at its smallest id."""
+    spark = keep.sparkSession
     before = keep.join(inner, keep.src == inner.v, "left_semi").select("id", F.col("src").alias("mid")).join(keep.select(F.col("dst").alias("mid"), F.col("id").alias("prev")), "mid").select("id", "prev")
-    steps = keep.join(before, "id", "left").select("id", F.col("prev"), F.coalesce("prev", "id").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.least("id", F.coalesce("prev", "id")).alias("low"))
-    steps, path = materialise(steps.drop("prev").withColumn("done", F.col("rank") == 0), "contract")
+    steps = keep.select("id").join(before, "id", "left").select("id", F.coalesce("prev", "id").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.least("id", F.coalesce("prev", "id")).alias("low"))
+    steps, path = materialise(steps.withColumn("done", F.col("rank") == 0), "chain")
+    mark = None
     for _ in range(rounds):
         to = steps.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("rank").alias("rank2"), F.col("low").alias("low2"))
         jumped = steps.join(to, "head").select("id", F.col("head2").alias("head"), (F.col("rank") + F.col("rank2")).alias("rank"), F.least("low", "low2").alias("low"), (F.col("rank2") == 0).alias("done"))
-        jumped, new = materialise(jumped, "contract")
+        jumped, new = materialise(jumped, "chain")
         remove(spark, path)
-        same = jumped.filter("not done").agg(F.count("*"), F.sum(F.hash("low").cast("long"))).first()
-        old = steps_mark if _ else None
-        steps_mark = tuple(same)
-        steps, path = jumped, new
-        if steps_mark[0] == 0 or steps_mark == old:
+        steps, path, old = jumped, new, mark
+        mark = tuple(steps.filter("not done").agg(F.count("*"), F.sum(F.hash("low").cast("long"))).first())
+        if mark[0] == 0 or mark == old:
             break
-    # what never reaches a head lies on a cycle, named by its smallest edge and begun there
-    whole = keep.join(steps.select("id", "head", "rank", "low", "done"), "id").join(before, "id", "left")
-    lines = whole.filter("done").select("head", "rank", "src", "dst", "label", "cov")
-    cyclic = whole.filter("not done").select("id", "prev", F.col("low").alias("head"), "src", "dst", "label", "cov")
-    ring = cyclic.withColumn("cut", F.col("id") == F.col("head"))
-    order, ring_path = materialise(ring.select("id", "head", F.when(F.col("cut"), F.col("id")).otherwise(F.col("prev")).alias("to"), F.when(F.col("cut"), 0).otherwise(1).cast("long").alias("rank")), "rings")
+    # what never reaches a head lies on a ring
+    whole = keep.join(steps.select("id", "head", "rank", "low", "done"), "id")
+    lines = whole.filter("done").drop("low", "done").withColumn("ring", F.lit(False))
+    cyclic = whole.filter("not done").drop("head", "rank", "done").withColumnRenamed("low", "head")
+    cut = F.col("id") == F.col("head")
+    order, ring_path = materialise(cyclic.join(before, "id").select("id", "head", F.when(cut, F.col("id")).otherwise(F.col("prev")).alias("to"), F.when(cut, 0).otherwise(1).cast("long").alias("rank")), "rings")
     if not order.isEmpty():
         for _ in range(rounds):
             to = order.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("r2"))
@@ -105,8 +101,16 @@ def contract(edges: DataFrame, rounds: int = 40) -> DataFrame:
             order, ring_path = jumped, new
             if order.filter("`to` <> head").isEmpty():
                 break
-    rings = cyclic.join(order.select("id", "rank"), "id").select("head", "rank", "src", "dst", "label", "cov")
-    parts = lines.unionByName(rings).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", "src", "dst", "label", "cov"))).alias("p"))
+    rings = cyclic.join(order.select("id", "rank"), "id").withColumn("ring", F.lit(True))
+    return lines.unionByName(rings)
+
+
+def contract(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """Unbranching paths as one edge each: (src, dst, label, cov, n). Inner vertices have one way in and one out; a pure
+    cycle begins at its smallest edge."""
+    inner = degrees(edges).filter("n_in = 1 and n_out = 1").select("v")
+    rows = chained(edges.withColumn("id", F.xxhash64("src", "dst", "label")), inner, rounds)
+    parts = rows.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", "src", "dst", "label", "cov"))).alias("p"))
     tail: Column = F.concat_ws("", F.transform(F.expr("slice(p, 2, size(p))"), lambda x: F.substring(x["label"], F.length(x["src"]) + 1, F.length(x["label"]))))
     return parts.select(F.col("p")[0]["src"].alias("src"), F.element_at("p", -1)["dst"].alias("dst"), F.concat(F.col("p")[0]["label"], tail).alias("label"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["cov"]).alias("cov"), F.size("p").cast("long").alias("n"))
 
