@@ -1 +1,3 @@
+"""Registered queries."""
 
+from strandloom.plans import inventory  # noqa: F401  adds its queries to the registry
