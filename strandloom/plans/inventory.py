@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.operators import correction as C
+from strandloom.operators import flow as W
 from strandloom.operators import graph as G
 from strandloom.operators import intervals as I
 from strandloom.operators import kmers as K
@@ -339,3 +341,19 @@ def o1_repetitive_kmers(spark, sf):
 def o4_coverage_drops(spark, sf):
     depth = segments(spark, sf).groupBy("contig", F.floor(F.col("lo") / 20).alias("pos")).agg(F.count("*").alias("depth"))
     return R.coverage_drops(depth, 3)
+
+
+# correction, multiplicities
+
+
+@query(None)
+def l6_corrected(spark, sf):
+    edges, _ = materialise(P.identified(G.contract(G.edges_of(contigs(spark, sf), 12))), "graph")
+    return C.corrected(contigs(spark, sf), edges, 12, 2)
+
+
+@query(None)
+def l18_multiplicities(spark, sf):
+    key = F.col("c_custkey")
+    low = key % 2
+    return W.multiplicities(table(spark, sf, "customer").select(F.col("c_nationkey").alias("component"), key.alias("edge"), (key % 8).alias("src"), ((key * 3 + 1) % 8).alias("dst"), low.alias("low"), (low + key % 3).alias("high")))
