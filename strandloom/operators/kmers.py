@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import canonical
-from strandloom.operators.shared import partitions
+from strandloom.operators.shared import materialise, partitions
 
 #: Symbols of a piece: long reads are cut, overlapping, so that no substring walks a whole read.
 PIECE = 256
@@ -134,13 +134,43 @@ def seed_offsets(reads: DataFrame, contigs: DataFrame, k: int, w: int) -> DataFr
     return kmers(reads, k).join(index, "kmer").select("read_id", "contig", (F.col("cpos") - F.col("pos")).alias("at")).distinct()
 
 
-def shared_pairs(reads: DataFrame, k: int, most: int = 50) -> DataFrame:
-    """(a, b, n): pairs a < b of sequences and how many distinct k-mers they share, over k-mers in at most ``most`` sequences."""
-    own = kmers(reads, k).select("read_id", "kmer").distinct()
-    rare = own.groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most)).select("kmer")
-    own = own.join(rare, "kmer", "left_semi")
-    pairs = own.select("kmer", F.col("read_id").alias("a")).join(own.select("kmer", F.col("read_id").alias("b")), "kmer").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+def _blocks(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
+    """(key, tile, ids): the members of each key that has two at least, in lists of about ``most``."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, F.ceil(F.col("n") / most).alias("tiles"))
+    tiled = rows.join(sizes, key).withColumn("tile", F.pmod(F.xxhash64(member), "tiles"))
+    return tiled.groupBy(key, "tile").agg(F.collect_list(member).alias("ids"))
+
+
+def _pairs(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, a, b), a < b: all pairs of members of a key, by pairs of its lists, which are dealt out evenly before they are unfolded."""
+    other = blocks.select(key, F.col("tile").alias("tile2"), F.col("ids").alias("ids2"))
+    met = blocks.join(other, key).filter("tile <= tile2")
+    met = spread(met).withColumn("x", F.explode("ids")).drop("ids").withColumn("y", F.explode("ids2"))
+    return met.filter("tile < tile2 or x < y").select(key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def shared_pairs(reads: DataFrame, k: int, tile: int = 512) -> DataFrame:
+    """(a, b, n): all pairs a < b of sequences that share a k-mer, and how many distinct ones. Rows with one id are one sequence.
+
+    Equal sequences are counted once, by the least id of their class, and named at the end; the pairs themselves are
+    as many as the result has. No list that is unfolded is much longer than ``tile``."""
+    spark = reads.sparkSession
+    texts = reads.filter(F.col("read_id").isNotNull() & (F.length("seq") >= k))
+    texts = texts.groupBy("read_id").agg(F.array_sort(F.collect_set("seq")).alias("seqs"))
+    classes = texts.groupBy("seqs").agg(F.min("read_id").alias("rep"))
+    member, _ = materialise(texts.join(classes, "seqs").select("read_id", "rep", F.when(F.col("read_id") == F.col("rep"), F.col("seqs")).alias("seqs")), "classes")
+    reps = member.filter("read_id = rep").select(F.col("rep").alias("read_id"), F.explode("seqs").alias("seq"))
+    own, _ = materialise(kmers(reps, k).select(F.col("read_id").alias("rep"), "kmer").distinct(), "kmers")
+    found, _ = materialise(_pairs(_blocks(own, "kmer", "rep", tile), "kmer").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    # back from classes to sequences
+    sizes = member.groupBy("rep").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    lists = member.join(sizes, "rep").groupBy("rep", F.pmod(F.xxhash64("read_id"), "tiles").alias("tile")).agg(F.collect_list("read_id").alias("ids"))
+    sides = [lists.select(F.col("rep").alias(c), F.col("ids").alias(f"ids_{c}")) for c in ("a", "b")]
+    across = spread(found.join(sides[0], "a").join(sides[1], "b").select("ids_a", "ids_b", "n"))
+    across = across.withColumn("x", F.explode("ids_a")).drop("ids_a").withColumn("y", F.explode("ids_b"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n")
+    within = _pairs(_blocks(member.select("read_id", "rep"), "rep", "read_id", tile), "rep").join(own.groupBy("rep").agg(F.count("*").alias("n")), "rep")
+    return across.unionByName(within.select("a", "b", "n"))
 
 
 def lookup(counts: DataFrame, asked: DataFrame) -> DataFrame:

@@ -193,3 +193,19 @@ def test_frequent_matches_plain(spark, least):
             want |= {s[p : p + 5] for p in range(at[0], at[-1] + 1) if counts[s[p : p + 5]] >= min(4, least)} if least <= 4 else set()
     df = spark.createDataFrame(rows, "read_id long, seq string")
     assert {r["kmer"] for r in K.frequent(df, 5, least).collect()} == want
+
+
+def test_shared_pairs_match_plain(spark):
+    rng = random.Random(19)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    copy, mark = text(40), text(12)
+    rows = [(i, copy) for i in range(70)] + [(100 + i, text(15) + mark + text(15)) for i in range(60)]
+    rows += [(200, copy), (200, mark), (201, copy), (201, mark), (201, mark), (202, "ACG"), (203, None), (None, copy), (204, text(30) + copy[:20])]
+    sets = {}
+    for i, s in rows:
+        if i is not None:
+            sets.setdefault(i, set()).update(s[p : p + 8] for p in range(len(s or "") - 7))
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b])
+    df = spark.createDataFrame(rows, "read_id long, seq string")
+    for tile in (512, 7):
+        assert sorted(map(tuple, K.shared_pairs(df, 8, tile=tile).select("a", "b", "n").collect())) == want
