@@ -3,17 +3,17 @@
 1. A document's set is its distinct shingle hashes. Each element has a Poisson process of points in time that
    fall on random registers; a register keeps the earliest time, and stores it as an exponentially spaced,
    truncated integer. Sketches of parts merge by maximum, and registers of similar sets agree often.
-2. Documents with equal sets form a class; only its smallest id goes on.
+2. Rows with equal sets form a class, which is numbered by its first row; only classes go on.
 3. Bands of consecutive registers are grouped by value. Every member of a group is paired with one hub only, the
    member that shares the most bands with others, which a hash aggregate with map-side combine finds.
 4. Pairs whose Jaccard similarity, estimated jointly from both sketches and both set sizes by maximum
    likelihood, is not far below the threshold are verified on the full sets.
-5. Components of verified links. Groups whose members are not all in one component by then get a second hub from
+5. Components of verified links and of classes that have an id in common. Groups whose members are not all in one component by then get a second hub from
    the rest; in what is still open, members of different components are compared exactly in tiles of bounded
    size, which return a spanning set of the links. Pairs within a component cannot change it and are not listed.
 
 Null or blank texts have the empty set and are linked with nothing. Rows with a null id have null component and kept.
-Rows that share an id are one node. Texts shorter than a shingle count as one whole shingle. An empty
+Rows that share an id are one node, with the links of all their texts. Texts shorter than a shingle count as one whole shingle. An empty
 table gives no rows. Columns besides id and text are ignored.
 """
 
@@ -115,6 +115,11 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps
     return (low + high) / 2
 
 
+def set_digests(elements: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each set."""
+    return [by_doc(mix(elements ^ U(salt)), counts).view(np.int64) for salt in (0x5DEECE66D, 0x2545F4914F6CDD1D)]
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set size, a 128-bit digest of the set, and the sketch as one 64-bit value for each band of 4 registers."""
 
@@ -125,7 +130,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 elements, counts = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
                 sketch = setsketch(elements, counts)
                 bands = np.ascontiguousarray(sketch).view(np.int64).reshape(-1)
-                digests = [by_doc(mix(elements ^ U(salt)), counts).view(np.int64) for salt in (0x5DEECE66D, 0x2545F4914F6CDD1D)]
+                digests = set_digests(elements, counts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(counts.astype(np.int64)), *map(pa.array, digests), pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * (REGISTERS // ROWS)), pa.array(bands))],
                     names=["doc_id", "n_shingles", "d1", "d2", "bands"],
@@ -147,11 +152,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     hundredths = round(100 * threshold)
     margin = threshold - 6 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs, _ = materialise(signatures(docs, width), "sigs")
+    sigs, _ = materialise(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "sigs")
     real = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member, _ = materialise(real.join(classes, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.col("n_shingles").alias("n")), "members")
-    reps = member.filter("doc_id = rep").select("rep", "n", "bands")
+    # a class is told by a row's number: several classes can have the same smallest id
+    classes = real.groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
+    own = F.col("row") == F.col("rep")
+    member, _ = materialise(real.join(classes, ["d1", "d2"]).select("doc_id", "rep", "least_id", *(F.when(own, F.col(c)).alias(c) for c in ("bands", "d1", "d2")), F.col("n_shingles").alias("n")), "members")
+    reps = member.filter("bands is not null").select("rep", "least_id", "n", "bands", "d1", "d2")
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     grouped, grouped_path = materialise(keyed.join(sizes, ["band", "key"]), "groups")
@@ -161,14 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column("text"))
+            asked = [batch.column(c).to_numpy() for c in ("d1", "d2")]
             for low, high in blocks(offsets):
                 elements, counts = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
                 ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["doc_id", "s"])
+                same = np.logical_and(*(x[low:high] == y for x, y in zip(asked, set_digests(elements, counts), strict=True)))
+                found = [elements[e - n : e].tobytes() for e, n in zip(ends[same], counts[same], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(low, high - low).filter(pa.array(same)), pa.array(found, pa.binary())], names=["rep", "s"])
 
-    whole, whole_path = materialise(docs.join(degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(trimmed(sets), "doc_id long, s binary"), "sets")
-    whole = whole.dropDuplicates(["doc_id"])
+    # the other texts of an id are told apart by their digests
+    wanted = reps.join(degree.select("rep"), "rep").select(F.col("least_id").alias("doc_id"), "rep", "d1", "d2")
+    whole, whole_path = materialise(docs.join(wanted, "doc_id").select("text", "rep", "d1", "d2").mapInArrow(trimmed(sets), "rep long, s binary"), "sets")
+    whole = whole.dropDuplicates(["rep"])
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose estimate is not far below the threshold."""
@@ -197,7 +209,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
                     keep.append(100 * both >= hundredths * (len(a) + len(b) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        out = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        out = pairs.join(whole.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         return out.select("a", "b", "sa", "sb").mapInArrow(trimmed(check), "a long, b long")
 
     def with_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -206,7 +218,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     best = F.max(F.struct("degree", -F.col("rep")))
     first = ranked.groupBy("band", "key").agg((-best["col2"]).alias("hub"))
     tested, _ = materialise(close(with_hub(ranked, first)), "close")
-    links, _ = materialise(verified(tested), "links")
+    ids = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
+    same_id = member.join(ids, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    links, _ = materialise(verified(tested).unionByName(same_id), "links")
     parts, _ = materialise(connected_components(links, "a", "b"), "parts")
 
     def open_groups() -> DataFrame:
@@ -229,8 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         rows, rows_path = materialise(open_groups(), "open")
     if not rows.isEmpty():  # exactly: members of different components meet in tiles of bounded size
         rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), F.col("rep").alias("doc_id"), "c")
-        rows = rows.join(whole, "doc_id")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "rep", "c")
+        rows = rows.join(whole, "rep")
         extra, _ = materialise(rows.groupBy("band", "key", "t1", "t2").applyInArrow(lambda group: _tile_links(group, hundredths), "a long, b long").distinct(), "links")
         if not extra.isEmpty():
             links = links.unionByName(extra)
@@ -238,8 +252,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     for path in (rows_path, grouped_path, ranked_path, whole_path):
         remove(spark, path)
     release(spark)
-    named = member.select("doc_id", "rep").distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    # components by their smallest ids
+    parts = reps.select(F.col("rep").alias("node"), "least_id").join(parts, "node")
+    parts = parts.join(parts.groupBy("component").agg(F.min("least_id").alias("name")), "component").select(F.col("node").alias("rep"), "name")
+    named = member.select("doc_id", "rep", "least_id").distinct().join(parts, "rep", "left")
+    named = named.groupBy("doc_id").agg(F.min(F.coalesce("name", "least_id")).alias("component"))
     out = sigs.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
@@ -248,8 +265,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 def _tile_links(group: pa.Table, hundredths: int) -> pa.Table:
     """A spanning set of the links between members of different components: all intersections of the tile at
     once as products of the incidence matrix, over shingles that several members have."""
-    order = np.argsort(group.column("doc_id").to_numpy(), kind="stable")
-    ids, comps = (group.column(c).to_numpy()[order] for c in ("doc_id", "c"))
+    order = np.argsort(group.column("rep").to_numpy(), kind="stable")
+    ids, comps = (group.column(c).to_numpy()[order] for c in ("rep", "c"))
     own = [np.frombuffer(x.as_buffer(), U) for x in group.column("s").combine_chunks().take(pa.array(order))]
     sizes = np.array([len(x) for x in own])
     values, which, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)

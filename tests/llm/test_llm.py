@@ -65,6 +65,17 @@ def test_neardup_matches_all_pairs(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neardup_links_all_texts_of_an_id(spark):
+    from strandloom.llm.neardup import near_duplicates
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1) + " a"), (3, text(2) + " b")]  # two texts under the smallest id
+    rows += [(10, text(3)), (13, text(3)), (11, text(4)), (13, text(4)), (14, text(4) + " c"), (20, text(5)), (20, text(5)), (21, None), (21, text(5))]
+    df, _ = documents(spark, rows)
+    found = set(got(near_duplicates(df, 3, 0.85), "doc_id", "component_id"))
+    assert found == {(1, 1), (2, 1), (3, 1), (10, 10), (13, 10), (11, 10), (14, 10), (20, 20), (21, 20)}
+
+
 def test_sketches_estimate_similarity():
     from strandloom.llm import neardup as N
 
