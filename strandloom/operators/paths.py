@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequences import reverse_complement
 from strandloom.operators.kmers import kmers
 
 
@@ -48,6 +49,13 @@ def coverage(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(added, "edge_id", "left").select("edge_id", F.coalesce("bases", F.lit(0)).alias("bases"), (F.coalesce("bases", F.lit(0)) / size).alias("mean"))
 
 
+def strand_coverage(reads: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(label, bases, mean): reads of either strand count on the edge and, as their reverse complements, on the edge across."""
+    across = reads.select(F.concat(F.lit("-"), F.col("read_id").cast("string")).alias("read_id"), reverse_complement(F.col("seq")).alias("seq"))
+    both = reads.select(F.concat(F.lit("+"), F.col("read_id").cast("string")).alias("read_id"), "seq").unionByName(across)
+    return coverage(align(both, edges, k), edges).join(edges.select("edge_id", "label"), "edge_id").select("label", "bases", "mean")
+
+
 def compact(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """(read_id, src, symbols, left, right): the path as its first vertex, the first symbol of each edge beyond its vertex, and what is cut off at both ends."""
     labelled = steps.join(edges.select("edge_id", "src", F.expr("substr(label, length(src) + 1, 1)").alias("symbol"), (F.length("label") - F.length("src")).alias("size")), "edge_id")

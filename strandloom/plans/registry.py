@@ -590,5 +590,12 @@ def i1_edge_coverage(spark, sf):
     return P.coverage(P.align(contigs(spark, sf), edges, 12), edges).agg(F.sum("bases").alias("bases"))
 
 
+@query(None)
+def i1_coverage_by_edge(spark, sf):
+    reads = contigs(spark, sf)
+    both = reads.unionByName(reads.select("read_id", S.reverse_complement(F.col("seq")).alias("seq")))
+    return P.strand_coverage(reads, P.identified(G.contract(G.edges_of(both, 12))), 12)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e2_minimizers(spark, sf_dir)

@@ -209,3 +209,23 @@ def test_shared_pairs_match_plain(spark):
     df = spark.createDataFrame(rows, "read_id long, seq string")
     for tile in (512, 7):
         assert sorted(map(tuple, K.shared_pairs(df, 8, tile=tile).select("a", "b", "n").collect())) == want
+
+
+def test_strand_coverage_matches_plain(spark):
+    from strandloom.operators import paths as P
+
+    rows, k = random_reads(8, 23), 7
+    df = spark.createDataFrame(rows, "read_id long, seq string")
+    both = df.unionByName(spark.createDataFrame([(i, rc(s)) for i, s in rows], "read_id long, seq string"))
+    edges = P.identified(G.contract(G.edges_of(both, k)))
+    found = {r["label"]: (r["bases"], r["mean"]) for r in P.strand_coverage(df, edges, k).collect()}
+    times = {}
+    for _, s in rows:
+        for x in (s, rc(s)):
+            for p in range(len(x) - k + 1):
+                times[x[p : p + k]] = times.get(x[p : p + k], 0) + 1
+    inner = {x: [x[p : p + k] for p in range(len(x) - k + 1)] for x in found}
+    assert sorted(y for v in inner.values() for y in v) == sorted(times)
+    for x, (bases, mean) in found.items():
+        assert bases == sum(times[y] for y in inner[x]) and mean == bases / len(inner[x])
+        assert rc(x) not in found or found[rc(x)] == (bases, mean)
