@@ -2,8 +2,10 @@
 
 A conversation's turns, in order, become windows of text for training. Prefix sums of turn tokens choose the turns of a
 window: the system turn that opens the conversation, then as many earlier turns as fit a share of the budget, then new
-turns while they fit. Every turn is new in one window exactly, and only new assistant turns are under the loss mask: repeated
-turns are there for context alone. A turn that is longer than the budget by itself has a window of its own, whole.
+turns while they fit. A turn's tokens are those of what is written for it, marks and escapes included; no token spans two turns, so a
+window's tokens are the sum. Every turn is new in one window exactly, and only new assistant turns are under the loss mask: repeated
+turns are there for context alone. Where the system turn and one new turn don't fit together, that window goes without the system
+turn; a turn that is longer than the budget by itself has a window of its own, whole. No other window exceeds the budget.
 
 A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts every ``<|``, also with backslashes between, gets one more
 backslash, so no marker can occur in them, and taking one away restores them; line ends and backslashes in roles are escaped too.
@@ -29,8 +31,6 @@ from strandloom.llm.packing import encoder
 from strandloom.operators.shared import partitions
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens that the marks of a turn count for.
-MARKS = 4
 WINDOWS = "conv_id long, window int, text string, loss array<struct<start: int, end: int>>, repeated int, turns int, n_tokens int"
 
 
@@ -50,8 +50,13 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def written(role: str, text: str) -> tuple[str, str]:
+    """How a turn begins, and its text as it is written."""
+    return f"{START}{escape_role(role)}\n", escape(text)
+
+
 class Conversation:
-    """The windows of one conversation, turn by turn."""
+    """The windows of one conversation, turn by turn. A turn is (role, beginning, written text, tokens, prefix sum)."""
 
     def __init__(self, budget: int, history: int):
         self.budget, self.most = budget, history
@@ -60,41 +65,40 @@ class Conversation:
         self.new: list[tuple] = []
         self.sum, self.opening, self.first = 0, True, True
 
-    def _repeated(self) -> list[tuple]:
-        """The longest run of the latest old turns whose prefix sums differ by the history's share at most."""
-        last = self.old[-1][3] if self.old else 0
-        while self.old and last - self.old[0][3] + self.old[0][2] > self.most:
+    @staticmethod
+    def _size(turns) -> int:
+        """Tokens of consecutive turns."""
+        return turns[-1][4] - turns[0][4] + turns[0][3] if turns else 0
+
+    def _context(self) -> int:
+        """Tokens of the longest run of the latest old turns within the history's share, and of the system turn; earlier turns go."""
+        while self._size(self.old) > self.most:
             self.old.popleft()
-        return [*([self.system] if self.system and not self.first else []), *self.old]
+        return self._size(self.old) + (self.system[3] if self.system and not self.first else 0)
 
-    def add(self, role: str, text: str, tokens: int) -> tuple | None:
-        turn = (role, text, tokens, self.sum + tokens)
+    def add(self, role: str, begin: str, body: str, tokens: int) -> tuple | None:
         done = None
-        context = sum(x[2] for x in self._repeated())
-        if self.new and context + sum(x[2] for x in self.new) + tokens > self.budget:
+        if self.new and self._context() + self._size(self.new) + tokens > self.budget:
             done = self.window()
         self.sum += tokens
-        self.new.append(turn)
+        self.new.append((role, begin, body, tokens, self.sum))
         if self.opening and role == "system":
-            self.system = turn
+            self.system = self.new[0]
         self.opening = False
         return done
 
     def window(self) -> tuple:
-        repeated = self._repeated()
-        room = self.budget - sum(x[2] for x in self.new)
-        keep = len(repeated) - len(self.old)
-        while self.old and sum(x[2] for x in repeated) > room:  # history gives way to a long new turn
+        room = self.budget - self._size(self.new)
+        while self.old and self._context() > room:  # history gives way to a long new turn
             self.old.popleft()
-            del repeated[keep]
+        repeated = [*([self.system] if self.system and not self.first and self._context() <= room else []), *self.old]
         parts, loss, at = [], [], 0
-        for k, (role, text, _, _) in enumerate([*repeated, *self.new]):
-            head, body = f"{START}{escape_role(role)}\n", escape(text)
+        for k, (role, begin, body, _, _) in enumerate([*repeated, *self.new]):
             if k >= len(repeated) and role == "assistant":
-                loss.append((at + len(head), at + len(head) + len(body)))
-            parts.append(f"{head}{body}{END}\n")
+                loss.append((at + len(begin), at + len(begin) + len(body)))
+            parts.append(f"{begin}{body}{END}\n")
             at += len(parts[-1])
-        out = ("".join(parts), loss, len(repeated), len(repeated) + len(self.new), sum(x[2] for x in [*repeated, *self.new]))
+        out = ("".join(parts), loss, len(repeated), len(repeated) + len(self.new), sum(x[3] for x in [*repeated, *self.new]))
         self.old.extend(x for x in self.new if x is not self.system)
         self.new, self.first = [], False
         return out
@@ -128,7 +132,8 @@ def chat_windows(turns: DataFrame, tokenizer: str, budget: int = 2048, history:
                     if current is not None and current.new:
                         put(out, current.window())
                     current, key, number = Conversation(budget, history), conv, 0
-                done = current.add(role, text, len(encode(text)) + MARKS)
+                begin, body = written(role, text)
+                done = current.add(role, begin, body, len(encode(f"{begin}{body}{END}\n")))
                 if done:
                     put(out, done)
             if out:

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
+
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, kind string, rep long, removed int, score double"
 
@@ -300,13 +302,28 @@ def test_chat_round_trip(spark):
     windows = chat_windows(df, BPE, budget=120, history=40)
     want = sorted(((c, len(v), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in v).encode()).hexdigest(), sum(len(x) for r, x in v if r == "assistant"), hashlib.sha256("".join(x for r, x in v if r == "assistant").encode()).hexdigest()) for c, v in by.items()), key=str)
     assert got(read_back(windows), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == want
+    count = lambda x: len(Tokenizer.from_file(BPE).encode(x, add_special_tokens=False).ids)
     for w in windows.collect():
         turns = parse_window(w["text"])
-        assert len(turns) == w["turns"] and (w["n_tokens"] <= 120 or w["turns"] - w["repeated"] == 1)
-        assert w["window"] == 0 or by[w["conv_id"]][0][0] != "system" or w["n_tokens"] > 120 or turns[0][0] == "system"
+        assert len(turns) == w["turns"] and w["n_tokens"] == count(w["text"])
+        assert w["n_tokens"] <= 120 or w["turns"] == 1
+        if w["window"] and by[w["conv_id"]][0][0] == "system" and turns[0][0] != "system":
+            assert w["turns"] - w["repeated"] == 1  # the system turn doesn't fit beside that turn
     assert read_back(chat_windows(df.limit(0), BPE)).count() == 0
 
 
+def test_chat_budget_of_short_turns(spark):
+    from strandloom.llm.chat import chat_windows
+
+    turns = [(1, t, "system" if t == 0 else "assistant" if t % 2 else "user", "ok" if t % 7 else "<|im_end|>") for t in range(3000)]
+    exact = Tokenizer.from_file(BPE)
+    found = chat_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), BPE, budget=2048, history=512).collect()
+    sizes = [len(exact.encode(w["text"], add_special_tokens=False).ids) for w in found]
+    assert sum(w["turns"] - w["repeated"] for w in found) == 3000
+    assert max(sizes) <= 2048 and sizes == [w["n_tokens"] for w in found]
+    assert all(x > 1900 for x in sizes[:-1])  # and the budget is used
+
+
 def test_toxicity_held_out(spark):
     from strandloom.llm.toxicity import toxicity
 
