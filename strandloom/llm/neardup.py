@@ -35,6 +35,8 @@ REGISTERS, ROWS = 128, 4
 #: SetSketch parameters: ratio of neighbouring register values, rate, and largest value.
 RATIO, RATE, TOP = 1.001, 20.0, 65534
 TILE = 512
+#: Members of a group of one (band, key) from which it is dealt over several tasks.
+HOT = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +161,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     own = F.col("row") == F.col("rep")
     member, _ = materialise(real.join(classes, ["d1", "d2"]).select("doc_id", "rep", "least_id", *(F.when(own, F.col(c)).alias(c) for c in ("bands", "d1", "d2")), F.col("n_shingles").alias("n")), "members")
     reps = member.filter("bands is not null").select("rep", "least_id", "n", "bands", "d1", "d2")
-    keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    grouped, grouped_path = materialise(keyed.join(sizes, ["band", "key"]), "groups")
+    # a group is in 64 parts by its members' hash until its size is known, and in as many as its size needs from then on
+    keyed = reps.select("rep", F.posexplode("bands").alias("band", "key")).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
+    parted = keyed.groupBy("band", "key", "part").agg(F.count("*").alias("size"))
+    sizes = parted.groupBy("band", "key").agg(F.sum("size").alias("size"), F.collect_list("part").alias("part")).filter("size > 1")
+    sizes = sizes.withColumn("part", F.explode("part"))
+    salts = F.ceil(F.col("size") / HOT)
+    grouped, grouped_path = materialise(keyed.join(sizes, ["band", "key", "part"]).drop("part").withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "rep"), salts)), "groups")
+    by_group = ["band", "key", "salt"]
+
+    def dealt(groups: DataFrame) -> DataFrame:
+        """A row of each group, which has its size, for each of its salts."""
+        return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("size")
+
     # a member that others resemble in many bands is nearest the middle of its copies
     degree = grouped.groupBy("rep").agg(F.sum("size").alias("degree"))
     ranked, ranked_path = materialise(grouped.join(degree, "rep"), "ranked")
@@ -213,43 +225,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         return out.select("a", "b", "sa", "sb").mapInArrow(trimmed(check), "a long, b long")
 
     def with_hub(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        return rows.join(hubs.select("band", "key", "hub"), ["band", "key"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        return rows.join(dealt(hubs.select("band", "key", "size", "hub")), by_group).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
 
     best = F.max(F.struct("degree", -F.col("rep")))
-    first = ranked.groupBy("band", "key").agg((-best["col2"]).alias("hub"))
-    tested, _ = materialise(close(with_hub(ranked, first)), "close")
+    first = ranked.groupBy("band", "key").agg((-best["col2"]).alias("hub"), F.max("size").alias("size"))
+    tested, tested_path = materialise(close(with_hub(ranked, first)), "close")
     ids = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
     same_id = member.join(ids, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
-    links, _ = materialise(verified(tested).unionByName(same_id), "links")
-    parts, _ = materialise(connected_components(links, "a", "b"), "parts")
+    links, links_path = materialise(verified(tested).unionByName(same_id), "links")
+    parts, parts_path = materialise(connected_components(links, "a", "b"), "parts")
+    done = [tested_path, links_path]
 
     def open_groups() -> DataFrame:
         """Members of groups that are not all in one component; of groups with the same members only one."""
         named = ranked.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         stats = named.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("rep") % 1_000_000_000_039).alias("sign"), F.count("*").alias("size")).filter("low <> high and size > 2")
-        one = stats.groupBy("sign", "size").agg(F.min(F.struct("band", "key")).alias("g")).select("g.band", "g.key")
-        return named.join(one, ["band", "key"])
+        one = stats.groupBy("sign", "size").agg(F.min(F.struct("band", "key")).alias("g")).select("g.band", "g.key", "size")
+        return named.join(dealt(one), by_group)
 
     # once more, from the middle of what is outside the first hub's component
     rows, rows_path = materialise(open_groups(), "open")
     if not rows.isEmpty():
-        main = rows.join(first, ["band", "key"]).filter("rep = hub").select("band", "key", F.col("c").alias("main"))
-        outer = rows.join(main, ["band", "key"])
-        second = outer.filter("c <> main").groupBy("band", "key").agg((-best["col2"]).alias("hub"))
-        again, _ = materialise(verified(close(with_hub(rows, second))), "links")
+        main = rows.join(dealt(first), by_group).filter("rep = hub").select("band", "key", "size", F.col("c").alias("main"))
+        outer = rows.join(dealt(main), by_group)
+        second = outer.filter("c <> main").groupBy("band", "key").agg((-best["col2"]).alias("hub"), F.max("size").alias("size"))
+        again, again_path = materialise(verified(close(with_hub(rows, second))), "links")
         links = links.unionByName(again)
-        parts, _ = materialise(connected_components(links, "a", "b"), "parts")
-        remove(spark, rows_path)
+        done += [again_path, parts_path, rows_path]
+        parts, parts_path = materialise(connected_components(links, "a", "b"), "parts")
         rows, rows_path = materialise(open_groups(), "open")
     if not rows.isEmpty():  # exactly: members of different components meet in tiles of bounded size
         rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "rep", "c")
         rows = rows.join(whole, "rep")
-        extra, _ = materialise(rows.groupBy("band", "key", "t1", "t2").applyInArrow(lambda group: _tile_links(group, hundredths), "a long, b long").distinct(), "links")
+        extra, extra_path = materialise(rows.groupBy("band", "key", "t1", "t2").applyInArrow(lambda group: _tile_links(group, hundredths), "a long, b long").distinct(), "links")
+        done.append(extra_path)
         if not extra.isEmpty():
-            links = links.unionByName(extra)
-            parts, _ = materialise(connected_components(links, "a", "b"), "parts")
-    for path in (rows_path, grouped_path, ranked_path, whole_path):
+            done.append(parts_path)
+            parts, parts_path = materialise(connected_components(links.unionByName(extra), "a", "b"), "parts")
+    for path in (*done, rows_path, grouped_path, ranked_path, whole_path):
         remove(spark, path)
     release(spark)
     # components by their smallest ids

@@ -78,6 +78,25 @@ def test_neardup_links_all_texts_of_an_id(spark):
     assert found == {(1, 1), (2, 1), (3, 1), (10, 10), (13, 10), (11, 10), (14, 10), (20, 20), (21, 20)}
 
 
+def test_neardup_hot_groups_are_dealt(spark, monkeypatch):
+    from strandloom.llm import neardup as N
+
+    rng, base = random.Random(4), [f"w{j}" for j in range(400)]
+    rows = []
+    for i in range(60):  # copies of one text, and copies with one change each
+        words_ = list(base)
+        if i % 3:
+            words_[rng.randrange(400)] = f"v{i}"
+        rows.append((i, " ".join(words_)))
+    rows += [(100 + i, " ".join(f"u{i}x{j}" for j in range(50))) for i in range(5)]
+    df, _ = documents(spark, rows)
+    whole = got(N.near_duplicates(df, 3, 0.85), "doc_id", "component_id")
+    assert whole == sorted([(i, 0) for i in range(60)] + [(100 + i, 100 + i) for i in range(5)], key=str)
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "TILE", 4)
+    assert got(N.near_duplicates(df, 3, 0.85), "doc_id", "component_id") == whole
+
+
 def test_sketches_estimate_similarity():
     from strandloom.llm import neardup as N
 
@@ -285,6 +304,19 @@ def test_warc_round_trip(spark):
     assert read_captures(directory, index, archives).count() == 0
 
 
+def test_words_that_polynomials_confuse():
+    import pyarrow as pa
+
+    from strandloom.llm import text as T
+
+    row = "a"
+    for _ in range(12):
+        row += row.translate(str.maketrans("ab", "ba"))
+        other = row.translate(str.maketrans("ab", "ba"))
+        h, counts = T.word_hashes(*T.flat(pa.array([f"{row} {other} {row.upper()}", None, ""])))
+        assert h[0] != h[1] and h[0] == h[2] and counts.tolist() == [3, 0, 0]
+
+
 def test_chat_round_trip(spark):
     from strandloom.llm.chat import chat_windows, escape, parse_window, read_back, unescape
 
