@@ -39,15 +39,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 class Monotone:
-    """A nondecreasing sequence in Elias-Fano form: low bits in whole bytes, high parts as unary gaps."""
+    """A nondecreasing sequence in Elias-Fano form: low bits in whole bytes, high parts as unary gaps.
+
+    The bits stay packed in their mapped file. Beside them in memory is only a directory of the ones before each word of 64 bits,
+    half as large as the bits."""
 
     def __init__(self, parts: list[np.ndarray]):
-        head, high, low = parts
-        self.n, self.base, self.width = int(head[0]), U(head[1]), int(head[2])
-        bits = np.unpackbits(high, bitorder="little")
-        zeros = np.flatnonzero(bits[: self.n + int(head[3])] == 0)
-        #: index of the first value with each high part
-        self.bucket = np.r_[0, zeros - np.arange(len(zeros)), self.n].astype(np.int64)
+        head, high, low, ones = parts
+        self.n, self.base, self.width, self.gaps = int(head[0]), U(head[1]), int(head[2]), int(head[3])
+        self.words, self.ones = high, ones
         self.low = low.reshape(-1, max(self.n, 1)) if self.width else None
 
     @staticmethod
@@ -61,10 +61,32 @@ class Monotone:
             width += 1
         high = (rest >> U(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, np.int64)
         gaps = int(high[-1]) + 1 if n else 0
-        bits = np.zeros(n + gaps, np.uint8)
+        bits = np.zeros((n + gaps + 63) // 64 * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         low = np.ascontiguousarray(rest).view(np.uint8).reshape(n, 8)[:, :width].T.copy() if n else np.zeros(0, np.uint8)
-        return [np.array([n, base, width, gaps], U), np.packbits(bits, bitorder="little"), low.reshape(-1)]
+        words = np.packbits(bits, bitorder="little").view(U)
+        ones = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
+        return [np.array([n, base, width, gaps], U), words, low.reshape(-1), ones.astype(np.uint32 if n < 2**32 else np.int64)]
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the k-th one, or zero, from 0: its word by the directory, then the place in it by halves."""
+        if one:
+            word = np.searchsorted(self.ones, k, side="right") - 1
+            left = k - self.ones[word].astype(np.int64)
+            bits = self.words[word]
+        else:
+            zeros = 64 * np.arange(len(self.ones), dtype=np.int64) - self.ones
+            word = np.searchsorted(zeros, k, side="right") - 1
+            left = k - zeros[word]
+            bits = ~self.words[word]
+        at = word * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(bits & U((1 << half) - 1)).astype(np.int64)
+            over = left >= count
+            left = np.where(over, left - count, left)
+            bits = np.where(over, bits >> U(half), bits)
+            at = at + np.where(over, half, 0)
+        return at
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), U)
@@ -72,31 +94,38 @@ class Monotone:
             out |= self.low[k][at].astype(U) << U(8 * k)
         return out
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first value >= x (n if none), and whether it equals x."""
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        high = (self._select(at, True) - at).astype(U)
+        return self.base + ((high << U(8 * self.width)) | self.lows(at) if self.width < 8 else self.lows(at))
+
+    def successor(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value >= x within [begin, end) (end if none), and whether it equals x."""
+        begin = np.zeros(len(x), np.int64) if begin is None else begin
+        end = np.full(len(x), self.n) if end is None else end
+        if self.n == 0:
+            return begin, np.zeros(len(x), bool)
         below = x < self.base
         rest = np.where(below, U(0), x - self.base)
         high = (rest >> U(8 * self.width)).astype(np.int64) if self.width < 8 else np.zeros(len(x), np.int64)
-        last = len(self.bucket) - 2
-        past = high > last
-        high = np.minimum(high, max(last, 0))
-        low, high_end = self.bucket[high], self.bucket[np.minimum(high + 1, len(self.bucket) - 1)]
+        past = high >= self.gaps
+        high = np.minimum(high, self.gaps - 1)
+        # values with this high part lie between the zeros before and after them
+        high_end = self._select(high, False) - high
+        low = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
+        lo, hi = np.clip(low, begin, end), np.clip(high_end, begin, end)
+        stop = hi.copy()
         tail = rest & U((1 << 8 * self.width) - 1) if self.width < 8 else rest
-        if self.n == 0:
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        lo, hi = low.copy(), high_end.copy()
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                break
+        live = np.flatnonzero(lo < hi)
+        while len(live):
             mid = (lo[live] + hi[live]) // 2
             less = self.lows(mid) < tail[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
-        inside = (lo < high_end) & ~past & ~below
-        equal = inside.copy()
-        equal[inside] = self.lows(lo[inside]) == tail[inside]
-        return np.where(past, self.n, np.where(below, 0, lo)), equal
+            live = live[lo[live] < hi[live]]
+        equal = (lo < stop) & ~past & ~below
+        equal[equal] = self.lows(lo[equal]) == tail[equal]
+        return np.where(past, end, np.where(below, begin, lo)), equal
 
 
 class Level:
@@ -119,7 +148,7 @@ class Level:
         return self.map[at : at + n * kind.itemsize].view(kind)
 
     def sequence(self, name: str) -> Monotone:
-        return Monotone([self[f"{name}{k}"] for k in range(3)])
+        return Monotone([self[f"{name}{k}"] for k in range(4)])
 
 
 def _sequence(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -152,12 +181,16 @@ def pair_level(contexts: np.ndarray, totals: np.ndarray, children: np.ndarray, c
 
 
 def pair_codes(level: Level, contexts: np.ndarray, sizes: np.ndarray, children: np.ndarray) -> np.ndarray:
-    """1 + the code of each pair, 0 for pairs that are not there: the context's number, then the child among its successors."""
+    """1 + the code of each pair, 0 for pairs that are not there: the context's number, its range by the two pointers there, then
+    the first successor not below the child within the range."""
     rank, known = level.sequence("contexts").successor(contexts)
-    rank, known = np.repeat(rank, sizes), np.repeat(known, sizes)
+    pointers = level.sequence("pointers")
+    begin, end = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+    begin[known], end[known] = (pointers.get(rank[known] + k).astype(np.int64) for k in (0, 1))
+    rank, known, begin, end = (np.repeat(x, sizes) for x in (rank, known, begin, end))
     span = U(int(level["scale"][2]))
-    known &= children < span
-    at, equal = level.sequence("children").successor(rank.astype(U) * span + np.where(known, children, U(0)))
+    known &= children < span  # beyond it, the number is no word that follows any context here
+    at, equal = level.sequence("children").successor(rank.astype(U) * span + np.where(known, children, U(0)), begin, end)
     out = np.zeros(len(children), np.uint32)
     good = known & equal
     out[good] = level["codes"][at[good]].astype(np.uint32) + 1

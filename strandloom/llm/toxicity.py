@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts: one of ordinary text, and one of toxic text, which has besides the
-ordinary words those that toxic documents use in significantly more surroundings. Every text is cut at white space into
-windows; a window that compresses to fewer bytes with the toxic dictionary counts for toxicity. A document's gains over
+Two dictionaries are trained by zstandard's own trainer: an ordinary one on windows of ordinary texts, and a toxic one on
+fragments of toxic texts, the words that toxic documents use in significantly more surroundings, each as often as it is used. The
+toxic side compresses with both, so that the two differ by the toxic dictionary alone. (Trained on whole windows of toxic
+texts, the trainer keeps what all texts share: see the README's figures.) Every text is cut at white space into
+windows; a window that compresses to fewer bytes on the toxic side counts for toxicity. A document's gains over
 all its windows (largest, how many, mean) become a probability by a logistic calibration on labelled texts that the
 dictionaries have not seen, weighted to the labels' true shares.
 
-Learning reads at most ``toxic_rows`` and ``ordinary_rows`` labelled documents, chosen by hash, whatever the corpus size; all
+Learning reads at most ``toxic_rows`` and ``ordinary_rows`` labelled documents, chosen by hash, one text of each id, and ``sample_bytes``
+of text for each label, whatever the corpus size: texts that don't fit any more are left out. All
 documents are scored whole. Null text is empty; empty texts get the calibrated score of no windows. Null ids
 are scored, and not held out. A document with several labels is toxic if one says so. Without labels of both kinds every score is
 the share of toxic labels. Repeated rows are scored each; empty tables give none. Other columns are ignored.
@@ -15,6 +18,7 @@ the share of toxic labels. Repeated rows are scored each; empty tables give none
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +31,10 @@ from pyspark.sql import functions as F
 from strandloom.llm.chunks import small_batches
 from strandloom.llm.text import trimmed
 
-WINDOWS, STEMS, COMMON, LEAST, CAP = (40, 64), (4, 5, 6), 6000, 2.0, 12
+WINDOWS, STEMS, LEAST, CAP = (40, 64), (4, 5, 6), 2.0, 12
+#: Trainer: bytes of the dictionaries at most, segment and match length, words of a sample, samples of ordinary text. The sizes are
+#: those of 12, 16, 20, 24 and 28 thousand that found most on the texts of the calibration.
+TOXIC_SIZE, ORDINARY_SIZE, SEGMENT, MATCH, GRAM, FRAGMENTS, SAMPLES = 8192, 28000, 32, 6, 8, 16, 150_000
 #: Bytes that both dictionaries have and every window begins with, so that each is stored compressed.
 PREFIX = "\x01".join(map(chr, range(33, 73)))
 
@@ -51,18 +58,46 @@ def _surroundings(texts: list[str]) -> Counter:
     return out
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary."""
+def significant(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Words and beginnings of words that toxic texts use in significantly more surroundings."""
     t, o = _surroundings(toxic), _surroundings(ordinary)
     n_t, n_o = max(sum(t.values()), 1), max(sum(o.values()), 1)
-    found = []
-    for word, n in t.items():
-        odds = math.log((n + 0.5) / n_t) - math.log((o[word] + 0.5) / n_o)
-        if len(word) >= STEMS[0] and n >= 3 and odds - 1.5 * math.sqrt(1 / (n + 0.5) + 1 / (o[word] + 0.5)) > LEAST:
-            found.append((odds, word))
-    common = " ".join(word for _, word in sorted(((n, word) for word, n in o.items() if n >= 3 and word), reverse=True)[:COMMON][::-1])
-    tail = f" {common} {PREFIX}"
-    return (" ".join(word for _, word in sorted(found)) + tail).encode(), tail.encode()
+
+    def odds(word: str, n: int) -> float:
+        return math.log((n + 0.5) / n_t) - math.log((o[word] + 0.5) / n_o) - 1.5 * math.sqrt(1 / (n + 0.5) + 1 / (o[word] + 0.5))
+
+    return {word for word, n in t.items() if len(word) >= STEMS[0] and n >= 3 and odds(word, n) > LEAST}
+
+
+def _train(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary trained by zstandard; of too few samples the trainer makes none, and they are the dictionary."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The toxic side's and the ordinary dictionary."""
+    chosen, fragments, windows = significant(toxic, ordinary), [], []
+    for text in toxic:
+        for word in map(_strip, text.lower().split()):
+            found = next((x for x in (word, *(word[:n] for n in STEMS[::-1])) if x in chosen), None)
+            if found:
+                fragments.append(f" {found} ".encode())
+    for text in ordinary:
+        words = text.lower().encode().split()
+        windows += [b" ".join(words[i : i + GRAM]) for i in range(0, len(words), GRAM)]
+    shuffle = random.Random(1).shuffle
+    shuffle(fragments)
+    shuffle(windows)
+    samples = [b"".join(fragments[i : i + FRAGMENTS]) for i in range(0, len(fragments), FRAGMENTS)]
+    total = sum(map(len, samples))
+    extra = _train(min(TOXIC_SIZE, max(512, total // 4)), samples * (200 // max(len(samples), 1) or 1)) if samples else b""
+    tail = _train(ORDINARY_SIZE, windows[:SAMPLES]) + f" {PREFIX}".encode()
+    return extra + b" " + tail, tail
 
 
 class Distance:
@@ -117,7 +152,7 @@ def every_third(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, held_out=every_third, toxic_rows: int = 2200, ordinary_rows: int = 7500, calibrate: float = 0.25, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, held_out=every_third, toxic_rows: int = 2200, ordinary_rows: int = 7500, sample_bytes: int = 32 << 20, calibrate: float = 0.25, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted for every document. ``learn`` (on doc_id) says from which rows to learn."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -133,7 +168,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, he
         for y, most in ((1, toxic_rows), (0, ordinary_rows)):
             part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
             sample = part if sample is None else sample.unionByName(part)
-        rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()  # bounded above
+        texts = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
+        sizes = texts.groupBy("doc_id", "y").agg(F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("x")).select("doc_id", "y", "x.*")
+        taken, room = [], {0: sample_bytes, 1: sample_bytes}
+        for r in sorted(sizes.collect(), key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"])):  # some thousand numbers
+            if r["size"] <= room[r["y"]]:
+                room[r["y"]] -= r["size"]
+                taken.append((r["doc_id"], r["h"]))
+        chosen = F.broadcast(spark.createDataFrame(taken, "doc_id long, h long"))
+        rows = texts.join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id"]).collect()  # sample_bytes of each label at most
         rows.sort(key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"], r["text"]))
         split = [[r["text"] for r in rows if r["y"] == y] for y in (0, 1)]
         cut = [max(1, int(len(x) * (1 - calibrate))) if len(x) > 1 else 0 for x in split]

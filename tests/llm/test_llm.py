@@ -192,8 +192,15 @@ def test_elias_fano():
     rng = np.random.default_rng(2)
     for values in (np.array([], np.uint64), np.array([5, 5, 9], np.uint64), np.sort(rng.integers(0, 1 << 63, 500, dtype=np.int64).astype(np.uint64)), np.arange(1000, dtype=np.uint64) * np.uint64(3)):
         x = np.concatenate([values, values + np.uint64(1), rng.integers(0, 1 << 63, 50, dtype=np.int64).astype(np.uint64), np.array([0], np.uint64)])
-        at, equal = Level(**_sequence("s", values)).sequence("s").successor(x)
+        own = Level(**_sequence("s", values)).sequence("s")
+        at, equal = own.successor(x)
         assert (at == np.searchsorted(values, x)).all() and (equal == np.isin(x, values)).all()
+        assert (own.get(np.arange(len(values))) == values).all()
+        begin = rng.integers(0, len(values) + 1, len(x))
+        end = np.minimum(begin + rng.integers(0, 9, len(x)), len(values))
+        at, equal = own.successor(x, begin, end)
+        want = [b + np.searchsorted(values[b:e], y) for y, b, e in zip(x, begin, end, strict=True)]
+        assert at.tolist() == want and equal.tolist() == [w < e and values[w] == y for y, w, e in zip(x, want, end, strict=True)]
 
 
 def test_packing(spark):
@@ -377,6 +384,11 @@ def test_toxicity_held_out(spark):
     assert all(found[i]["held_out"] for i in held)
     assert sum(found[i]["predicted"] == (i % 5 == 0) for i in held) / len(held) > 0.95
     assert toxicity(df, lab.limit(0)).count() == len(rows) and toxicity(df.limit(0), lab).count() == 0
+    # repeated rows of a labelled id, and texts that don't fit the sample, change neither memory nor which rows come back
+    again = df.unionByName(df.filter("doc_id < 50"))
+    few = toxicity(again, lab, sample_bytes=60_000).collect()
+    assert len(few) == len(rows) + 50 and sum(r["predicted"] for r in few if r["doc_id"] in held and r["doc_id"] % 5 == 0) / sum(i % 5 == 0 for i in held) > 0.8
+    assert toxicity(df, spark.createDataFrame([(7, 0, 0), (14, 0, 1)], "doc_id long, quality int, toxic int")).count() == len(rows)
 
 
 def test_quality_held_out(spark):
@@ -401,6 +413,26 @@ def test_quality_held_out(spark):
     assert quality_scores(df.limit(0)).count() == 0
 
 
+def test_labellers_are_learnt():
+    from strandloom.llm import quality as Q
+
+    clean = [1] * 7
+    one = [[-1 if i == k else 1 for i in range(7)] for k in range(7)]
+    pairs = [[-1, 1, 1, 1, 1, 1, -1], [1, -1, -1, 1, 1, 1, 1], [1, 1, 1, 1, -1, -1, 1]]
+
+    def learnt(*rows):
+        votes = np.array([r for r, _ in rows])
+        share, table = Q.accuracies(Q.code(votes), np.array([n for _, n in rows], float))
+        return Q.posterior(votes + 1, share, table), table
+
+    for rows in ([(clean, 700), *((x, 30) for x in one)], [(clean, 600), *((x, 150) for x in pairs)], [(clean, 500)], [(clean, 990), (one[0], 10)]):
+        good, _ = learnt(*rows)
+        assert good[0] > 0.5 and (good[1:] < 0.5).all()
+    good, table = learnt((clean, 850), (one[0], 5), (one[3], 5), (pairs[0], 140))
+    assert good[2] > 0.9 > 0.5 > good[1] > good[3]  # a labeller that finds nothing bad else counts for less
+    assert table[0][0] < 0.6 < table[0][3]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
