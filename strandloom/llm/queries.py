@@ -16,7 +16,7 @@ from strandloom.llm.quality import quality_scores
 from strandloom.llm.suffix import digests, repeated_spans
 from strandloom.llm.topk import exact_top_k
 from strandloom.llm.toxicity import toxicity
-from strandloom.llm.warc import archive, read_captures
+from strandloom.llm.warc import archive, page_keys, read_captures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, index, archives = archive(table(spark, sf_dir, "pages"), least=0)
-    return read_captures(directory, index, archives, payloads=False).drop("url", "payload")
+    pages = table(spark, sf_dir, "pages")
+    directory, index, archives = archive(pages, least=0)
+    return read_captures(directory, index, archives, page_keys(pages), payloads=False).drop("url", "payload")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 SQL: dict[str, str] = {
+    "op3_minhash_neardup": """
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * x >= 85 * (i.n + j.n - x)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a AS doc_id, a AS top FROM e UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.doc_id),
+        c AS (SELECT doc_id, min(top) AS top FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.top, d.doc_id) AS component_id, d.doc_id = coalesce(c.top, d.doc_id) AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+    """,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+        SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f
+    """,
     "op2_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL

@@ -3,7 +3,7 @@
 Writing: every page is a gzip member in an archive file of its task; of pages with equal payloads the one with the smallest
 id is a response, the others are revisit records that name it. Indexing: captures are sorted by reversed-host URL key,
 cut into blocks of ``LINES`` lines that are compressed each by itself, and a sparse directory keeps the first and last key and
-the place of each block. Reading: the directory gives the block, a binary search in the block the line, and two range reads
+the place of each block. Reading: a binary search in the directory gives the block, one in the block the line, and two range reads
 the block and the record. Only files that the index names count, so a repeated task leaves nothing wrong behind.
 
 Null html is an empty payload; a null url has the empty key and no target; a page with a null id is a response of
@@ -178,32 +178,82 @@ def _page(headers: dict[str, str], http: dict[str, str], payload: bytes) -> tupl
     return number(headers["WARC-Record-ID"]), int(http["Content-Length"]), sha1, headers["WARC-Type"], None if first is None else number(first), headers.get("WARC-Target-URI"), payload if first is None else None
 
 
-def read_captures(directory: DataFrame, index_folder: str, archive_folder: str, keys: Iterable[str] | None = None, payloads: bool = True) -> DataFrame:
-    """The captures of the given keys (all: None) as pages: blocks from the directory, lines by binary search, records by range reads."""
-    wanted = None if keys is None else sorted(set(keys))
-    if wanted is not None:
-        hit = F.lit(False)
-        for key in wanted:
-            hit = hit | ((F.col("first_key") <= key) & (F.col("last_key") >= key))
-        directory = directory.filter(hit)
+def page_keys(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The distinct URL keys of pages, as column key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, archives = _Files(index_folder), _Files(archive_folder)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
-            for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
-                lines = json.loads(zlib.decompress(index.read(file, offset, length)))
-                if wanted is not None:
-                    sorted_keys = [x[0] for x in lines]
-                    lines = [x for key in wanted for x in lines[bisect.bisect_left(sorted_keys, key) : bisect.bisect_right(sorted_keys, key)]]
-                pages = [_page(*parse(archives.read(*line[2:]))) for line in sorted(lines, key=lambda x: (x[2], x[3]))]
-                if pages:
-                    columns = list(zip(*pages, strict=True))
-                    if not payloads:
-                        columns[6] = [None] * len(pages)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
-
-    return directory.repartition(partitions(directory.sparkSession)).mapInArrow(run, CAPTURES)
+            yield pa.RecordBatch.from_arrays([pa.array([surt(x) for x in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    return pages.select(F.col(url_col).cast("string")).distinct().mapInArrow(run, "key string").distinct()
+
+
+def _located(directory: DataFrame, keys: DataFrame, slice_blocks: int) -> DataFrame:
+    """(file, offset, length, key): the blocks in which each key may be, by binary search in the sparse directory, which goes to the
+    workers in slices of about ``slice_blocks`` blocks."""
+    spark, out = directory.sparkSession, None
+    slices = 1 + directory.count() // slice_blocks
+    for part in range(slices):
+        own = directory.filter(F.pmod(F.xxhash64("file", "offset"), F.lit(slices)) == part) if slices > 1 else directory
+        shared = spark.sparkContext.broadcast(sorted((r["first_key"], r["last_key"], r["file"], r["offset"], r["length"]) for r in own.collect()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks = shared.value
+            ends = [x[1] for x in blocks]  # blocks follow one another: their last keys are in order too
+            for batch in batches:
+                rows = []
+                for key in batch.column(0).to_pylist():
+                    at = bisect.bisect_left(ends, key)
+                    while at < len(blocks) and blocks[at][0] <= key:
+                        rows.append((*blocks[at][2:], key))
+                        at += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "offset", "length", "key"])
+
+        found = keys.select(F.col("key").cast("string")).dropna().distinct().mapInArrow(run, "file string, offset long, length long, key string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def read_captures(directory: DataFrame, index_folder: str, archive_folder: str, keys: DataFrame | Iterable[str] | None = None, payloads: bool = True, slice_blocks: int = 100_000) -> DataFrame:
+    """The captures of the given keys (a table with column key, or some strings; all: None) as pages: blocks by binary search in the
+    directory, lines by binary search in the block, records by range reads. A key that is not there gives no rows."""
+    spark = directory.sparkSession
+    if keys is None:
+        asked = directory.select("file", "offset", "length", F.lit(None).cast("string").alias("key"))
+    else:
+        if not isinstance(keys, DataFrame):
+            keys = spark.createDataFrame([(x,) for x in keys], "key string")
+        asked = _located(directory, keys, slice_blocks)
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, archives, block, lines, starts = _Files(index_folder), _Files(archive_folder), None, [], []
+        held, size = [], 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal held, size
+            columns = list(zip(*held, strict=True))
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for *place, key in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "key")), strict=True):
+                if place != block:
+                    block, lines = place, json.loads(zlib.decompress(index.read(*place)))
+                    starts = [x[0] for x in lines]
+                own = lines if key is None else lines[bisect.bisect_left(starts, key) : bisect.bisect_right(starts, key)]
+                for line in sorted(own, key=lambda x: (x[2], x[3])):
+                    page = _page(*parse(archives.read(*line[2:])))
+                    held.append(page if payloads else (*page[:6], None))
+                    size += len(held[-1][6] or b"") + 200
+                    if size > 4 << 20:
+                        yield emit()
+            if held:
+                yield emit()
+
+    return asked.repartition(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(run, CAPTURES)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = 0) -> tuple[DataFrame, str, str]:

@@ -307,7 +307,13 @@ def test_warc_round_trip(spark):
     assert surt("http://a.example.com:80/x?y") == "com,example,a)/x?y"
     hit = read_captures(directory, index, archives, [surt("http://b.org")])
     assert sorted(map(str, (r["page_id"] for r in hit.collect()))) == ["3", "3", "None"]
+    from strandloom.llm.warc import page_keys
+
+    asked = read_captures(directory, index, archives, page_keys(df), slice_blocks=2)  # many slices of the directory
+    assert got(asked, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=str)
+    assert read_captures(directory, index, archives, ["no,such)/"]).count() == 0
     directory, index, archives = archive(df.limit(0))
+    assert read_captures(directory, index, archives, page_keys(df)).count() == 0
     assert read_captures(directory, index, archives).count() == 0
 
 
