@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.text import trim
-from strandloom.operators.shared import materialise
+from strandloom.operators.shared import materialise, partitions
 
 FIELDS = "chunk long, shard int, blob binary, kind int"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary()), ("kind", pa.int32())])
@@ -93,6 +94,12 @@ def with_answers(payload: DataFrame, answers: DataFrame, run: Callable[[int, pa.
     return payload.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 
 
+def shards_for(texts: DataFrame, text: str, each: int = 128 << 20) -> int:
+    """How many shards hold what tasks find out: one for each ``each`` bytes of text, as many as shuffle partitions at least."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(partitions(texts.sparkSession), -(-int(size) // each))
+
+
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Hand whole texts to Python in small batches: what a worker and its JVM hold then doesn't depend on the rows' sizes."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):

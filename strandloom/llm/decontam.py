@@ -7,12 +7,13 @@ pieces of all items in a pass over each document; where a hit's partner is near
 within the place that the hit allows. Both sides are compared in lower case with white space as single blanks.
 
 The benchmark goes to the workers in parts of at most ``part_bytes`` of text, one pass over the documents for each, so
-what is broadcast is bounded whatever its size. Null or blank items and texts match nothing. Repeated items or documents
-give repeated rows; empty tables give none. Other columns are ignored.
+what is broadcast is bounded whatever its size. Null or blank items and texts match nothing. Repeated rows of the benchmark are one
+item; repeated documents give repeated rows; empty tables give none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,8 +128,9 @@ class Matcher:
 _matchers: dict[tuple, Matcher] = {}
 
 
-def _matcher(shared, rate: float) -> Matcher:
-    key = (getattr(shared, "_path", None) or id(shared), rate)
+def _matcher(part: tuple, rate: float) -> Matcher:
+    name, shared = part
+    key = (name, rate)
     if key not in _matchers:
         _matchers.clear()
         _matchers[key] = Matcher(shared.value, rate)
@@ -136,15 +138,15 @@ def _matcher(shared, rate: float) -> Matcher:
 
 
 def _parts(benchmark: DataFrame, part_bytes: int, item_col: str, text_col: str) -> Iterator:
-    """The benchmark as broadcasts of about part_bytes of text, at least one."""
+    """The benchmark as named broadcasts of about part_bytes of text (or one item), at least one. Repeated rows are one item."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 + size // part_bytes
     for part in range(parts):
         rows = [tuple(x) for x in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
         if rows or part == 0:
-            yield spark.sparkContext.broadcast(rows)
+            yield uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, part_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import chunks
 from strandloom.llm.text import U, flat, mix, word_hashes
-from strandloom.operators.shared import materialise, partitions, release, remove
+from strandloom.operators.shared import materialise, release, remove
 
 CHUNK = 8 << 20
 END = U(0x656E64)
@@ -298,9 +298,10 @@ def every_seventh(doc_id: int) -> bool:
 
 def lm_scores(docs: DataFrame, held_out=every_seventh, prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document; ``held_out(id)`` says which documents the model does not learn from."""
-    spark, shards = docs.sparkSession, partitions(docs.sparkSession)
+    spark = docs.sparkSession
     chunks.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shards = chunks.shards_for(docs, "text")
     payload, asked, path = chunks.chunked(docs, "text", CHUNK, lambda batch: _requests(batch, "doc_id", held_out, shards), "lm")
     words, _ = materialise(asked.groupBy("shard").applyInArrow(lambda group: _words(group, shards), chunks.FIELDS + ", tokens long, words long"), "words")
     remove(spark, f"{path}/kind={chunks.REQUEST}")

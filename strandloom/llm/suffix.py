@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 
 from strandloom.llm import chunks
 from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash, trim, trimmed
-from strandloom.operators.shared import materialise, partitions, release, remove
+from strandloom.operators.shared import materialise, release, remove
 
 CHUNK, SEGMENT = 2 << 20, 1 << 18
-#: Bytes of an anchor; surroundings of one anchor from which it is dealt over SPREAD buckets; from which strings are sorted one by one.
-ANCHOR, MANY, SPREAD, FEW = 24, 4096, 64, 12
+#: Bytes of an anchor; surroundings of one anchor from which it is dealt over buckets, SPREAD at least and twice as many for each
+#: doubling; from which strings are sorted one by one.
+ANCHOR, MANY, SPREAD, FEW = 24, 1024, 16, 12
 LAST = np.iinfo(np.int64).max
 SUFFIX = "lead binary, salt int, bytes binary, anchor int, doc_id long, tie long, start long, chunk long, inst int"
 
@@ -128,7 +129,8 @@ def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _status(group: pa.Table) -> pa.Table:
-    """For each chunk's anchors of a shard: 0 nowhere else, 1 same bytes and first, 2 same bytes and later, 3 other bytes, 4 very many."""
+    """For each chunk's anchors of a shard: 0 nowhere else, 1 same bytes and first, 2 same bytes and later, 3 other bytes, 4 or more very many: one
+    more for each doubling."""
     asked = [chunks.unarrays(x.as_py()) for x in group.column("blob")]
     sizes = np.array([len(x[0]) for x in asked])
     keys, body, kinds, start = (np.concatenate([x[k] for x in asked]) for k in (0, 1, 2, 4))
@@ -153,12 +155,18 @@ def _status(group: pa.Table) -> pa.Table:
         mixed = (np.minimum.reduceat(b, at) != np.maximum.reduceat(b, at)) | (np.maximum.reduceat(kinds[rest], at) > 1)
         status[rest] = np.where(mixed[own], 3, np.where(new, 1, 2))
         total = np.add.reduceat(kinds[rest].astype(np.int64), at)
-        status[rest[(total > MANY)[own] & mixed[own]]] = 4
-    status[(kinds > MANY) & (status == 3)] = 4
+        large = (total > MANY) & mixed
+        status[rest[large[own]]] = _very_many(total[own][large[own]])
+    alone = (kinds > MANY) & (status == 3)
+    status[alone] = _very_many(kinds[alone].astype(np.int64))
     ends = np.cumsum(sizes)
     return pa.table({"chunk": group.column("chunk"), "shard": group.column("shard"), "blob": pa.array([chunks.arrays(status[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary()), "kind": pa.array([chunks.ANSWER] * len(sizes), pa.int32())})
 
 
+def _very_many(total: np.ndarray) -> np.ndarray:
+    return (4 + np.ceil(np.log2(np.maximum(total / (2 * MANY), 1)))).astype(np.uint8)
+
+
 def _entry_status(g: Groups, back: list[tuple[int, bytes, int]]) -> np.ndarray:
     found = [chunks.unarrays(blob)[0] for _, blob, kind in back if kind == chunks.ANSWER]
     return np.concatenate(found) if found else np.zeros(0, np.uint8)
@@ -282,9 +290,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """docs with ``removed``: the maximal byte ranges [start, end) covered by strings of ``length`` bytes that also start earlier."""
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
-    spark, shards = docs.sparkSession, partitions(docs.sparkSession)
+    spark = docs.sparkSession
     chunks.small_batches(spark)
     docs = docs.drop("removed")
+    shards = chunks.shards_for(docs, text_col)
     payload, asked, path = chunks.chunked(docs, text_col, CHUNK, lambda batch: _requests(batch, id_col, text_col, length, shards), "suffix")
     status, status_path = materialise(asked.groupBy("shard").applyInArrow(_status, chunks.FIELDS), "status")
     remove(spark, f"{path}/kind={chunks.REQUEST}")
@@ -298,7 +307,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         inst = g.order[at]
         body = pa.array([data[a:b].tobytes() for a, b in zip(g.low[inst], g.end[inst], strict=True)], pa.binary())
         lead = pa.array([data[a : a + ANCHOR].tobytes() for a in g.anchor[inst]], pa.binary())
-        salt = np.where(state[g.entry[at]] == 4, (g.body[inst] % U(SPREAD)).astype(np.int32), -1) if len(at) else np.zeros(0)
+        many = state[g.entry[at]] if len(at) else np.zeros(0, np.uint8)
+        salt = np.where(many >= 4, (g.body[inst] % (U(SPREAD) << np.maximum(many, 4).astype(U) - U(4))).astype(np.int64), -1)
         doc = g.doc[inst]
         return pa.table({"lead": lead, "salt": pa.array(salt.astype(np.int32)), "bytes": body, "anchor": pa.array((g.anchor[inst] - g.low[inst]).astype(np.int32)), "doc_id": pa.array(ids[doc]), "tie": pa.array(ties[doc]), "start": pa.array(g.low[inst] - offsets[:-1][doc]), "chunk": pa.array(np.full(len(at), number)), "inst": pa.array(inst.astype(np.int32))})
 
@@ -349,7 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             np.add.at(marks, g.low[inst], 1)
             np.add.at(marks, g.end[inst], -1)
             masks: dict[int, np.ndarray] = {}
-            for i in g.order[g.leads & (state[g.entry] == 4)].tolist():
+            for i in g.order[g.leads & (state[g.entry] >= 4)].tolist():
                 masks[i] = np.ones(g.end[i] - g.low[i] - length + 1, bool)
             for _, blob, kind in back:
                 if kind == chunks.WINDOWS:

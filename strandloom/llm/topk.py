@@ -7,13 +7,15 @@ searches the blocks around its own distance, which gives a lower bound of its k-
 vectors with |d(q, p) - d(x, p)| <= d(q, k-th) can reach that, so all other blocks, and all other rows of the blocks, are left out.
 Bounds are floating-point with a margin; scores are exact.
 
-The pivots are a fixed number of rows, chosen by hash; every row is indexed. Null vectors, and those with null or
+The pivots are rows chosen by hash, as many as the square root of all rows, 32 at least and 1,024 at most; every row is indexed.
+Vectors so long that a score may not fit 64 bits raise an error. Null vectors, and those with null or
 non-finite components, take no part, nor do null ids. Vectors of other lengths are compared over zeros. A repeated id is one
 candidate for each of its rows, and never its own. Ties go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.chunks import small_batches
 from strandloom.operators.shared import materialise, partitions, remove
 
-PIVOTS, ROWS, QUERIES_EACH, DIRECTORY = 32, 4096, 50_000, 100_000
+#: Least and most pivots (the square root of the rows between them), rows of a block, queries and blocks of a slice.
+PIVOTS, ROWS, QUERIES_EACH, DIRECTORY = (32, 1024), 4096, 50_000, 100_000
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -54,7 +57,10 @@ def integers(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> Da
                     continue
                 x = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
-                    v = np.floor(scale * x).astype(np.int64)
+                    x = np.floor(scale * x)
+                    if np.abs(x).max(initial=0) >= 2.0**62:
+                        raise ValueError("a scaled component does not fit 64 bits: use a smaller scale")
+                    v = x.astype(np.int64)
                     ids.append(k)
                     out.append(v.tobytes())
                     norm.append(float((v.astype(np.float64) ** 2).sum()))
@@ -68,11 +74,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     spark = vectors.sparkSession
     small_batches(spark)
     rows, rows_path = materialise(integers(vectors, scale, id_col, vector_col), "vectors")
-    top, width, n_queries = rows.agg(F.coalesce(F.max("n2"), F.lit(0.0)), F.coalesce(F.max(F.octet_length("v")), F.lit(0)), F.count_if(is_query)).first()
+    top, width, n_queries, n = rows.agg(F.coalesce(F.max("n2"), F.lit(0.0)), F.coalesce(F.max(F.octet_length("v")), F.lit(0)), F.count_if(is_query), F.count("*")).first()
     width //= 8
+    if top >= 2.0**62:  # no score is larger than the largest squared length
+        raise ValueError("scores of the scaled vectors may not fit 64 bits: use a smaller scale")
+    pivots = min(max(math.isqrt(n), PIVOTS[0]), PIVOTS[1])
     m2 = float(top) * (1 + 1e-12) + 1
     margin = 1e-9 * m2 + 1e-6
-    chosen = [np.frombuffer(x[0], np.int64) for x in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
+    chosen = [np.frombuffer(x[0], np.int64) for x in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
     base = np.zeros((len(chosen), width), np.float64)
     for i, x in enumerate(chosen):
         base[i, : len(x)] = x

@@ -460,3 +460,27 @@ def test_pipeline_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_suffix_of_anchors_with_many_surroundings(spark):
+    """One passage in thousands of different surroundings: its anchors are dealt over buckets and compared across them."""
+    from strandloom.llm.suffix import digests, repeated_spans
+
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows = []
+    for i in range(2600):
+        side = f"{i % 1300:06d}" * 12  # each surrounding in two documents
+        rows.append((i, side + passage + side))
+    df, _ = documents(spark, rows)
+    found = got(digests(repeated_spans(df, 100)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == plain_spans(rows, 100)
+
+
+def test_top_k_refuses_what_does_not_fit(spark):
+    from strandloom.llm.topk import exact_top_k
+
+    for x in (1e17, 1e9):
+        df = spark.createDataFrame([(1, [x, x]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            exact_top_k(df, F.col("vec_id") > 0).count()
