@@ -37,18 +37,17 @@ def without_tips(edges: DataFrame, least: int) -> DataFrame:
     return marked.filter((F.col("cov") >= least) | ((F.col("src_in") > 0) & (F.col("dst_out") > 0))).select("src", "dst", "label", "cov")
 
 
-def tip_free(edges: DataFrame, least: int, rounds: int = 50) -> DataFrame:
-    """Rounds of ``without_tips`` until nothing goes."""
+def tip_free(edges: DataFrame, least: int) -> DataFrame:
+    """Rounds of ``without_tips`` until nothing goes: as many as the longest tip has edges."""
     work, path = materialise(edges, "tips")
     n = work.count()
-    for _ in range(rounds):
+    while True:
         shorter, new = materialise(without_tips(work, least), "tips")
         remove(edges.sparkSession, path)
         work, path, left = shorter, new, shorter.count()
         if left == n:
-            break
+            return work
         n = left
-    return work
 
 
 def three_colors(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -143,6 +142,81 @@ def ranked_by(by: str, *order: Column | str) -> Column:
 
 def bulge_choice(edges: DataFrame, most: int) -> DataFrame:
     """Of two edges between the same vertices with summed coverage of at most ``most`` the one to keep: higher coverage, then smaller label."""
-    best = F.max_by("label", F.struct("cov", -F.col("label")))
+    best = F.min_by("label", F.struct(-F.col("cov"), "label"))
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("cov").alias("total"), best.alias("keep"))
     return pairs.filter((F.col("n") == 2) & (F.col("total") <= most)).select("src", "dst", "keep", "total")
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """(v, level) of an acyclic graph (src, dst): the longest way from a vertex without a way in. Raises on a cycle."""
+    spark = edges.sparkSession
+    steps, steps_path = materialise(edges.select("src", "dst").distinct(), "steps")
+    n = steps.select(F.explode(F.array("src", "dst")).alias("v")).distinct().count()
+    level, path = materialise(steps.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("level", F.lit(0).cast("long")), "levels")
+    for _ in range(n + 1):
+        pushed = level.join(steps, level.v == steps.src).groupBy(F.col("dst").alias("v")).agg((F.max("level") + 1).alias("to"))
+        grown, new = materialise(level.join(pushed, "v", "left").select("v", F.greatest("level", F.coalesce("to", F.lit(0))).alias("level")), "levels")
+        top, same = grown.join(level.withColumnRenamed("level", "old"), "v").agg(F.max("level"), F.bool_and(F.col("level") == F.col("old"))).first()
+        remove(spark, path)
+        level, path = grown, new
+        if same or same is None:
+            remove(spark, steps_path)
+            return level
+        if top >= n:
+            break
+    raise ValueError("the graph has a cycle")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(v, component): components within which every vertex reaches every other, named by their smallest vertex.
+
+    Colours flow forward until every vertex has the largest one that reaches it; what goes back from a colour's own vertex within its colour is a
+    component. Vertices without a way in or out are components of their own and go first."""
+    spark = edges.sparkSession
+    work, work_path = materialise(edges.select("src", "dst").filter("src <> dst").distinct(), "scc")
+    left = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+    out: list[DataFrame] = []
+    while not work.isEmpty():
+        inner = work.select(F.col("src").alias("v")).intersect(work.select(F.col("dst").alias("v")))
+        shorter, new = materialise(work.join(inner, work.src == inner.v, "left_semi").join(inner, work.dst == inner.v, "left_semi"), "scc")
+        trimmed = shorter.count() < work.count()
+        remove(spark, work_path)
+        work, work_path = shorter, new
+        if trimmed:
+            continue
+        inner = work.select(F.col("src").alias("v")).distinct()  # nothing was trimmed: every source has a way in too
+        colour, path = materialise(inner.withColumn("c", F.col("v")), "colour")
+        while True:
+            flow = colour.join(work, colour.v == work.src).groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("to"))
+            grown, new = materialise(colour.join(flow, "v", "left").select("v", F.greatest("c", F.coalesce("to", "c")).alias("c"), (F.col("to") > F.col("c")).alias("moved")), "colour")
+            remove(spark, path)
+            colour, path = grown.drop("moved"), new
+            if grown.filter("moved").isEmpty():
+                break
+        within = work.join(colour.select(F.col("v").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b").select("src", "dst", F.col("a").alias("c"))
+        back, back_path = materialise(colour.filter("v = c"), "back")
+        n = back.count()
+        while True:
+            grown, new = materialise(back.unionByName(back.join(within.drop("c"), back.v == within.dst).select(F.col("src").alias("v"), "c")).distinct(), "back")
+            remove(spark, back_path)
+            back, back_path, before, n = grown, new, n, grown.count()
+            if n == before:
+                break
+        out.append(back)
+        rest, new = materialise(work.join(back, work.src == back.v, "left_anti").join(back, work.dst == back.v, "left_anti"), "scc")
+        remove(spark, work_path)
+        work, work_path = rest, new
+    found = None
+    for part in out:
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return left.withColumn("component", F.col("v"))
+    names = found.groupBy("c").agg(F.min("v").alias("component"))
+    return left.join(found.join(names, "c").select("v", "component"), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+
+
+def component_measures(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, n_vertices, n_edges, n_tips, n_junctions) of weak components (node, component)."""
+    d = degrees(edges).join(parts.select(F.col("node").alias("v"), "component"), "v")
+    by = d.groupBy("component").agg(F.count("*").alias("n_vertices"), F.sum("n_out").alias("n_edges"), F.count_if(F.col("n_in") + F.col("n_out") == 1).alias("n_tips"), F.count_if((F.col("n_in") != 1) | (F.col("n_out") != 1)).alias("n_junctions"))
+    return by

@@ -92,3 +92,90 @@ def adjacent(steps: DataFrame) -> DataFrame:
 def valid_reads(reads: DataFrame, steps: DataFrame, bad_edges: DataFrame) -> DataFrame:
     """Reads whose paths touch none of the bad edges."""
     return reads.join(steps.join(bad_edges.select("edge_id"), "edge_id", "left_semi").select("read_id"), "read_id", "left_anti")
+
+
+def maximal_matches(reads: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
+    """(read_id, contig, pos, cpos, len): exact matches of k symbols or more that neither end can extend: runs of shared
+    k-mers on a diagonal."""
+    index = kmers(contigs, k).select("kmer", F.col("read_id").alias("contig"), F.col("pos").alias("cpos"))
+    hits = kmers(reads, k).join(index, "kmer").select("read_id", "contig", F.col("pos").cast("long").alias("pos"), (F.col("pos") - F.col("cpos")).cast("long").alias("d"))
+    order = Window.partitionBy("read_id", "contig", "d").orderBy("pos")
+    islands = hits.withColumn("island", F.col("pos") - F.row_number().over(order))
+    return islands.groupBy("read_id", "contig", "d", "island").agg(F.min("pos").alias("pos"), (F.count("*") + (k - 1)).alias("len")).select("read_id", "contig", "pos", (F.col("pos") - F.col("d")).alias("cpos"), "len")
+
+
+def found_in(strings: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """(read_id, contig, pos): every place of references (read_id, seq) that holds a string (its read_id as contig) of k symbols or more."""
+    seeds = strings.select(F.col("read_id").alias("contig"), F.col("seq").alias("s"), F.left("seq", F.lit(k)).alias("kmer")).filter(F.length("s") >= k)
+    hits = kmers(references, k).join(seeds, "kmer")
+    longer = hits.filter(F.length("s") > k).join(references, "read_id").filter("substr(seq, pos + 1, length(s)) = s").select("read_id", "contig", F.col("pos").cast("long").alias("pos"))
+    return hits.filter(F.length("s") == k).select("read_id", "contig", F.col("pos").cast("long").alias("pos")).unionByName(longer)
+
+
+def wildcard_hits(patterns: DataFrame, references: DataFrame) -> DataFrame:
+    """(read_id, contig, pos): every place at which a pattern (read_id, seq), whose ? stand for any symbol, lies within a reference.
+
+    The longest part without ? is looked up as a k-mer, and the rest is compared at its hits. Patterns of ? only are left out."""
+    parts = F.transform(F.split("seq", r"\?"), lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x")))
+    best = patterns.withColumn("best", F.array_max(parts)).filter("best.n > 0")
+    before = F.expr("length(array_join(slice(split(seq, '\\\\?'), 1, -best.i), '?')) + if(best.i < 0, 1, 0)")
+    asked = best.select(F.col("read_id").alias("contig"), F.col("seq").alias("p"), F.col("best.x").alias("kmer"), F.col("best.n").alias("n"), before.cast("int").alias("off"))
+    out = None
+    for (n,) in asked.select("n").distinct().collect():  # lengths of parts: few
+        own = asked.filter(F.col("n") == n)
+        hits = kmers(references, n).join(own, "kmer").select("read_id", "contig", "p", (F.col("pos") - F.col("off")).alias("pos"))
+        both = hits.join(references, "read_id").withColumn("w", F.expr("substr(seq, cast(pos as int) + 1, length(p))"))
+        fits = ~F.exists(F.zip_with(F.split("w", ""), F.split("p", ""), lambda x, y: (x != y) & (y != "?")), lambda x: x)
+        found = both.filter("pos >= 0 and length(w) = length(p)").filter(fits).select("read_id", "contig", F.col("pos").cast("long").alias("pos"))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = references.limit(0).select("read_id", F.col("read_id").alias("contig"), F.lit(0).cast("long").alias("pos"))
+    return out
+
+
+def supported_ways(reads: DataFrame, k: int, most: int, support: int) -> DataFrame:
+    """(src, dst, symbols, support): ways of up to ``most`` symbols between vertices of k - 1 symbols that reads take often enough."""
+    at = reads.filter(F.length("seq") >= k).withColumn("i", F.explode(F.expr(f"sequence(0, length(seq) - {k})"))).withColumn("n", F.explode(F.expr(f"sequence(1, least({most}, length(seq) - i - {k - 1}))")))
+    path = at.select(F.expr(f"substr(seq, i + 1, n + {k - 1})").alias("path"))
+    ways = path.groupBy("path").agg(F.count("*").alias("support")).filter(F.col("support") >= support)
+    return ways.select(F.expr(f"left(path, {k - 1})").alias("src"), F.expr(f"right(path, {k - 1})").alias("dst"), F.expr(f"substr(path, {k})").alias("symbols"), "support")
+
+
+def reversed_path(edges):
+    """A path on the other strand: edges in reverse, each with its sign changed."""
+    from strandloom.functions.sequences import toggle_strand
+
+    return F.transform(F.reverse(edges), toggle_strand)
+
+
+def cut_back(edges, first: int, last: int):
+    """A path without some edges at its beginning and end."""
+    return F.slice(edges, first + 1, F.greatest(F.size(edges) - (first + last), F.lit(0)))
+
+
+def walked(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(read_id, i, edge_id) of compact paths (read_id, src, symbols): at each vertex the edge whose label goes on with the
+    next symbol. One join for each symbol of the longest path; a path ends where no edge goes on."""
+    from strandloom.operators.shared import materialise
+
+    steps = edges.select(F.col("src").alias("v"), F.expr("substr(label, length(src) + 1, 1)").alias("c"), "dst", "edge_id")
+    live, i, out = paths.select("read_id", F.col("src").alias("v"), "symbols").filter("symbols <> ''"), 0, None
+    while True:
+        at = live.withColumn("c", F.expr("left(symbols, 1)")).join(steps, ["v", "c"])
+        at, _ = materialise(at, "walk")
+        if out is not None and at.isEmpty():
+            return out
+        found = at.select("read_id", F.lit(i).alias("i"), "edge_id")
+        out = found if out is None else out.unionByName(found)
+        live, i = at.select("read_id", F.col("dst").alias("v"), F.expr("substr(symbols, 2)").alias("symbols")).filter("symbols <> ''"), i + 1
+
+
+def good_or_partial(placements: DataFrame, slack: int) -> DataFrame:
+    """Placements (lo, hi, len) with kind: good if they span the read but for ``slack`` symbols, else partial."""
+    return placements.withColumn("kind", F.when(F.col("hi") - F.col("lo") + slack >= F.col("len"), "good").otherwise("partial"))
+
+
+def graph_kmers(edges: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, cnt): the k-mers that a graph's labels spell, with how often reads hold them."""
+    own = places(edges, k).select("kmer").distinct()
+    return kmers(reads, k).join(own, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("cnt"))

@@ -1,3 +1,4 @@
 """Registered queries."""
 
-from strandloom.plans import inventory  # noqa: F401  adds its queries to the registry
+from strandloom.plans import inventory  # noqa: F401  these modules add their queries to the registry
+from strandloom.plans import further  # noqa: F401

@@ -17,7 +17,7 @@ from strandloom.operators import reads as R
 from strandloom.operators import stats as A
 from strandloom.operators.components import connected_components
 from strandloom.operators.shared import materialise
-from strandloom.plans.registry import CONTIGS, DEGREES, EDGES, EVENTS, KMERS, POINTS, RC, SEGMENTS, SEQS, SPECTRUM, contigs, event_strings, points, query, segments, seqs, table
+from strandloom.plans.registry import BLOCKS, CONTIGS, DEGREES, EDGES, EVENTS, KMERS, POINTS, RC, SEGMENTS, SEQS, SPECTRUM, contigs, customer_blocks, event_strings, points, query, segments, seqs, table
 
 # cutting, names, coordinates
 
@@ -51,14 +51,15 @@ def c2_short_emptied(spark, sf):
     return seqs(spark, sf).select("read_id", F.when(F.length("seq") >= 200, F.col("seq")).otherwise("").alias("seq"))
 
 
-@query(f"SELECT key, substr(seq, CAST(greatest(pos - 15, 0) AS BIGINT) + 1, CAST(greatest(least(pos + 15, length(seq)) - greatest(pos - 15, 0), 0) AS BIGINT)) AS seq FROM (SELECT key, contig % 40 AS contig, pos FROM {POINTS}) p JOIN {CONTIGS} c ON p.contig = c.read_id")
+@query(f"SELECT key, substr(seq, CAST(greatest(pos - 15, 0) AS BIGINT) + 1, CAST(greatest(least(pos + 15, length(seq)) - greatest(pos - 15, 0), 0) AS BIGINT)) AS seq FROM (SELECT key, contig % (SELECT count(*) FROM benchmark) AS contig, pos FROM {POINTS}) p JOIN {CONTIGS} c ON p.contig = c.read_id")
 def c6_regions(spark, sf):
-    return R.regions(points(spark, sf).withColumn("contig", F.col("contig") % 40), contigs(spark, sf), 15)
+    return R.regions(points(spark, sf).withColumn("contig", F.col("contig") % table(spark, sf, "benchmark").count()), contigs(spark, sf), 15)
 
 
-@query(f"SELECT name, CASE WHEN name LIKE '-%' THEN substr({RC('seq')}, lo + 1, hi - lo) ELSE substr(seq, lo + 1, hi - lo) END AS seq FROM (SELECT CASE WHEN key % 2 = 0 THEN '-' ELSE '' END || contig % 40 AS name, contig % 40 AS contig, lo, hi FROM {SEGMENTS}) p JOIN {CONTIGS} c ON p.contig = c.read_id")
+@query(f"SELECT name, CASE WHEN name LIKE '-%' THEN substr({RC('seq')}, lo + 1, hi - lo) ELSE substr(seq, lo + 1, hi - lo) END AS seq FROM (SELECT CASE WHEN key % 2 = 0 THEN '-' ELSE '' END || contig % n AS name, contig % n AS contig, lo, hi FROM {SEGMENTS}, (SELECT count(*) AS n FROM benchmark)) p JOIN {CONTIGS} c ON p.contig = c.read_id")
 def c7_named_segment(spark, sf):
-    name = F.concat(F.when(F.col("key") % 2 == 0, "-").otherwise(""), (F.col("contig") % 40).cast("string"))
+    items = table(spark, sf, "benchmark").count()
+    name = F.concat(F.when(F.col("key") % 2 == 0, "-").otherwise(""), (F.col("contig") % items).cast("string"))
     return R.named_segment(contigs(spark, sf), segments(spark, sf).select(name.alias("name"), "lo", "hi"))
 
 
@@ -196,15 +197,11 @@ def g28_multiplicity_coverage(spark, sf):
     return both.groupBy(F.least(F.coalesce("c", F.lit(0)), F.lit(5)).cast("long").alias("mult"), F.least("cnt", F.lit(50)).cast("long").alias("cov")).agg(F.count("*").alias("n"))
 
 
-_NEAR = "(SELECT DISTINCT c_nationkey * 100 + c_custkey % 37 AS src, c_nationkey * 100 + c_custkey % 41 AS dst FROM customer)"
-
-
-@query(f"WITH RECURSIVE s AS (SELECT src, dst FROM {_NEAR} UNION SELECT dst, src FROM {_NEAR}), r AS (SELECT DISTINCT src AS v, 0 AS d FROM s WHERE src % 100 = 5 UNION SELECT s.dst, r.d + 1 FROM r JOIN s ON s.src = r.v WHERE r.d < 4) SELECT CAST(v AS BIGINT) AS v, CAST(min(d) AS BIGINT) AS dist FROM r GROUP BY v")
+@query(f"WITH RECURSIVE s AS (SELECT src, dst FROM {BLOCKS} UNION SELECT dst, src FROM {BLOCKS}), r AS (SELECT DISTINCT src AS v, 0 AS d FROM s WHERE src % 25 = 5 UNION SELECT s.dst, r.d + 1 FROM r JOIN s ON s.src = r.v WHERE r.d < 4) SELECT CAST(v AS BIGINT) AS v, CAST(min(d) AS BIGINT) AS dist FROM r GROUP BY v")
 def h5_neighbourhood(spark, sf):
-    base = F.col("c_nationkey").cast("long") * 100
-    edges = table(spark, sf, "customer").select((base + F.col("c_custkey") % 37).alias("src"), (base + F.col("c_custkey") % 41).alias("dst")).distinct()
+    edges = customer_blocks(spark, sf).distinct()
     named = edges.withColumn("label", F.concat(F.col("src").cast("string"), F.lit("x")))
-    return G.neighbourhood(named, edges.select(F.explode(F.array("src", "dst")).alias("v")).filter("v % 100 = 5").distinct(), 4)
+    return G.neighbourhood(named, edges.select(F.explode(F.array("src", "dst")).alias("v")).filter("v % 25 = 5").distinct(), 4)
 
 
 @query(f"WITH e AS (SELECT * FROM {EDGES(EVENTS, 5)} WHERE cov >= 4), d AS (SELECT * FROM {DEGREES('e')}) SELECT label FROM e JOIN d a ON a.v = src JOIN d b ON b.v = dst WHERE NOT (a.n_in = 0 AND a.n_out = 1 AND b.n_in = 1 AND b.n_out = 0)")
@@ -312,17 +309,15 @@ def k18_first_ten_labels(spark, sf):
     return rows.withColumn("r", G.ranked_by("l_suppkey", "l_partkey")).filter("r <= 10").drop("r")
 
 
-@query("WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'R') SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)")
+@query("WITH p AS (SELECT DISTINCT l_orderkey AS a, l_partkey * 100000 + l_suppkey AS b FROM lineitem) SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)")
 def l16_mutual_pairs(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_quantity > 48 and l_returnflag = 'R'")
-    return R.mutual_best(rows.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct())
+    return R.mutual_best(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("b")).distinct())
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey * 1000 + c_custkey % 40 AS a, c_nationkey * 1000 + c_custkey % 56 AS b FROM customer), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS top FROM s UNION SELECT s.b, r.top FROM r JOIN s ON r.node = s.a), c AS (SELECT node, min(top) AS component FROM r GROUP BY node) SELECT CAST(component AS BIGINT) AS component, count(*) AS n FROM customer JOIN c ON node = c_nationkey * 1000 + c_custkey % 40 GROUP BY component")
+@query(f"WITH RECURSIVE s AS (SELECT src AS a, dst AS b FROM {BLOCKS} UNION SELECT dst, src FROM {BLOCKS}), r AS (SELECT a AS node, a AS top FROM s UNION SELECT s.b, r.top FROM r JOIN s ON r.node = s.a), c AS (SELECT node, min(top) AS component FROM r GROUP BY node) SELECT o_orderkey AS read_id, CAST(component AS BIGINT) AS component FROM orders JOIN c ON node = o_custkey")
 def m1_reads_by_component(spark, sf):
-    base = F.col("c_nationkey").cast("long") * 1000
-    rows = table(spark, sf, "customer").select((base + F.col("c_custkey") % 40).alias("src"), (base + F.col("c_custkey") % 56).alias("dst"))
-    return rows.join(connected_components(rows).withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count("*").alias("n"))
+    parts = connected_components(customer_blocks(spark, sf)).withColumnRenamed("node", "o_custkey")
+    return table(spark, sf, "orders").join(parts, "o_custkey").select(F.col("o_orderkey").alias("read_id"), "component")
 
 
 @query(f"SELECT read_id, min(pos) - 5 AS lo, max(pos) + 9 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT read_id, CAST(pos AS BIGINT) AS pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY read_id ORDER BY pos) <= 14 THEN 0 ELSE 1 END AS new FROM {KMERS(SEQS, 4)} WHERE left(kmer, 2) = right(kmer, 2) AND left(kmer, 1) <> substr(kmer, 2, 1))) GROUP BY read_id, part")

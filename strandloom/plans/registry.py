@@ -254,11 +254,18 @@ def f13_three_color(spark, sf):
     return G.three_colors(_language(spark, sf, "en"), _language(spark, sf, "fr"), 8)
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey * 1000 + c_custkey % 40 AS a, c_nationkey * 1000 + c_custkey % 56 AS b FROM customer), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS top FROM s UNION SELECT s.b, r.top FROM r JOIN s ON r.node = s.a) SELECT node, min(top) AS component FROM r GROUP BY node")
+#: Customers tied to one a few numbers on, within blocks of fifty: as many components as blocks.
+BLOCKS = "(SELECT c_custkey AS src, least(c_custkey + 1 + c_nationkey % 3, c_custkey - c_custkey % 50 + 49) AS dst FROM customer)"
+
+
+def customer_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey").cast("long")
+    return table(spark, sf, "customer").select(key.alias("src"), F.least(key + 1 + F.col("c_nationkey") % 3, key - key % 50 + 49).alias("dst"))
+
+
+@query(f"WITH RECURSIVE s AS (SELECT src AS a, dst AS b FROM {BLOCKS} UNION SELECT dst, src FROM {BLOCKS}), r AS (SELECT a AS node, a AS top FROM s UNION SELECT s.b, r.top FROM r JOIN s ON r.node = s.a) SELECT CAST(node AS BIGINT) AS node, CAST(min(top) AS BIGINT) AS component FROM r GROUP BY node")
 def h4_components(spark, sf):
-    c = table(spark, sf, "customer")
-    base = F.col("c_nationkey").cast("long") * 1000
-    return connected_components(c.select((base + F.col("c_custkey") % 40).alias("src"), (base + F.col("c_custkey") % 56).alias("dst")))
+    return connected_components(customer_blocks(spark, sf))
 
 
 @query(f"SELECT v, n_in, n_out FROM {DEGREES(EDGES(EVENTS, 5))} WHERE n_in > 1 AND n_out > 1")
@@ -266,7 +273,15 @@ def h15_complex_nodes(spark, sf):
     return G.complex_vertices(G.edges_of(event_strings(spark, sf), 5))
 
 
-@query(None)
+def CONTRACTED(source: str, k: int) -> str:
+    """Unbranching paths by recursion along the edges. Pure cycles, which the given tables have none of, are left out."""
+    return f"""(WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {EDGES(source, k)}), inner_ AS MATERIALIZED (SELECT v FROM {DEGREES('e')} WHERE n_in = 1 AND n_out = 1),
+        lin AS (SELECT src, dst, label, cov, 1 AS n, label AS last FROM e WHERE src NOT IN (SELECT v FROM inner_)
+                UNION ALL SELECT l.src, e.dst, l.label || right(e.label, 1), l.cov + e.cov, l.n + 1, e.label FROM lin l JOIN e ON e.src = l.dst WHERE l.dst IN (SELECT v FROM inner_))
+        SELECT src, dst, label, CAST(cov AS BIGINT) AS cov, CAST(n AS BIGINT) AS n FROM lin WHERE dst NOT IN (SELECT v FROM inner_))"""
+
+
+@query(f"SELECT src, dst, label, cov, n FROM {CONTRACTED(CONTIGS, 12)}")
 def h2_contract(spark, sf):
     return G.contract(G.edges_of(contigs(spark, sf), 12))
 
@@ -488,10 +503,13 @@ def g26_exact_containment(spark, sf):
     return found.join(reads, "read_id").filter("substr(seq, pos + 1, length(cseq)) = cseq").groupBy("read_id", "contig").agg(F.min("pos").cast("long").alias("pos"))
 
 
-@query("WITH e AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, l_orderkey * 10 + l_linenumber AS label, CAST(l_quantity AS BIGINT) AS cov FROM lineitem WHERE l_returnflag = 'R') SELECT src, dst, max_by(label, cov * CAST(1000000000 AS BIGINT) - label) AS keep, CAST(sum(cov) AS BIGINT) AS total FROM e GROUP BY src, dst HAVING count(*) = 2 AND sum(cov) <= 60")
+_LABELS = f"(SELECT left(label, 3) AS src, right(label, 3) AS dst, label, count(*) AS cov FROM (SELECT substr(seq, i + 1, 7) AS label FROM (SELECT seq, unnest(range(0, length(seq) - 6)) AS i FROM {EVENTS})) GROUP BY label)"
+
+
+@query(f"SELECT src, dst, min(label) FILTER (WHERE cov = top) AS keep, CAST(sum(cov) AS BIGINT) AS total FROM (SELECT *, max(cov) OVER (PARTITION BY src, dst) AS top FROM {_LABELS}) GROUP BY src, dst HAVING count(*) = 2 AND sum(cov) <= 60")
 def l7_bulge_choice(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label"), F.col("l_quantity").cast("long").alias("cov"))
-    return G.bulge_choice(rows, 60)
+    labels = K.spectrum(event_strings(spark, sf), 7)
+    return G.bulge_choice(labels.select(F.left("kmer", F.lit(3)).alias("src"), F.right("kmer", F.lit(3)).alias("dst"), F.col("kmer").alias("label"), F.col("cnt").alias("cov")), 60)
 
 
 @query(f"SELECT read_id FROM {EVENTS} WHERE read_id NOT IN (SELECT read_id FROM {KMERS(EVENTS, 4)} WHERE kmer IN (SELECT kmer FROM {SPECTRUM(EVENTS, 4)} WHERE cnt < 6))")
@@ -530,7 +548,7 @@ def b6_dot(spark, sf):
     return X.dot_lines(G.edges_of(event_strings(spark, sf), 3))
 
 
-_PLACED = "(SELECT key, contig % 40 AS contig, lo % 300 - 20 AS lo, lo % 300 - 20 + hi - lo AS hi, CASE WHEN key % 2 = 0 THEN '-' ELSE '+' END AS strand FROM " + SEGMENTS + ")"
+_PLACED = "(SELECT key, contig % (SELECT count(*) FROM benchmark) AS contig, lo % 300 - 20 AS lo, lo % 300 - 20 + hi - lo AS hi, CASE WHEN key % 2 = 0 THEN '-' ELSE '+' END AS strand FROM " + SEGMENTS + ")"
 _PART = "substr(seq, greatest(lo, 0) + 1, greatest(least(hi, length(seq)) - greatest(lo, 0), 0))"
 
 
@@ -538,7 +556,8 @@ _PART = "substr(seq, greatest(lo, 0) + 1, greatest(least(hi, length(seq)) - grea
 def c16_simulated_reads(spark, sf):
     rows = segments(spark, sf)
     low = F.col("lo") % 300 - 20
-    placed = rows.select("key", (F.col("contig") % 40).alias("contig"), low.alias("lo"), (low + F.col("hi") - F.col("lo")).alias("hi"), F.when(F.col("key") % 2 == 0, "-").otherwise("+").alias("strand"))
+    items = table(spark, sf, "benchmark").count()
+    placed = rows.select("key", (F.col("contig") % items).alias("contig"), low.alias("lo"), (low + F.col("hi") - F.col("lo")).alias("hi"), F.when(F.col("key") % 2 == 0, "-").otherwise("+").alias("strand"))
     return I.simulated(placed, contigs(spark, sf))
 
 
@@ -557,10 +576,10 @@ def i15_binned_coverage(spark, sf):
     return I.binned_coverage(segments(spark, sf), 100)
 
 
-@query(f"SELECT a.contig, count(*) AS n FROM {SEGMENTS} a JOIN {SEGMENTS} b ON a.contig = b.contig AND b.lo <= a.lo AND a.hi <= b.hi WHERE a.lo < a.hi AND a.hi - a.lo <= 3 GROUP BY a.contig")
+@query(f"SELECT a.contig, count(*) AS n FROM {SEGMENTS} a JOIN {SEGMENTS} b ON a.contig = b.contig AND b.lo <= a.lo AND a.hi <= b.hi WHERE a.lo < a.hi GROUP BY a.contig")
 def j17_contained(spark, sf):
     rows = segments(spark, sf).drop("key")
-    return I.contained(rows.filter("hi - lo <= 3"), rows).groupBy("contig").agg(F.count("*").alias("n"))
+    return I.contained(rows, rows).groupBy("contig").agg(F.count("*").alias("n"))
 
 
 @query("WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value FROM events), l AS (SELECT user_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) <= 3 THEN 0 ELSE 1 END AS new FROM e WHERE value < 20), p AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM l) SELECT user_id, min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM p GROUP BY user_id, part")
@@ -573,9 +592,17 @@ def _contracted(spark, sf):
     return P.identified(G.contract(G.edges_of(contigs(spark, sf), 12)))
 
 
-@query(None)
+_AT = f"(SELECT edge_id, off, substr(label, off + 1, 12) AS kmer FROM (SELECT label AS edge_id, label, unnest(range(0, length(label) - 11)) AS off FROM {CONTRACTED(CONTIGS, 12)}))"
+
+
+@query(f"""WITH a AS MATERIALIZED (SELECT * FROM {_AT}), m AS (SELECT r.read_id, r.pos, a.edge_id, a.off FROM {KMERS(CONTIGS, 12)} r JOIN a USING (kmer)),
+    w AS (SELECT *, CASE WHEN edge_id = lag(edge_id) OVER o AND off = lag(off) OVER o + 1 THEN 0 ELSE 1 END AS new FROM m WINDOW o AS (PARTITION BY read_id ORDER BY pos)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM w)
+    SELECT read_id, row_number() OVER (PARTITION BY read_id ORDER BY run) - 1 AS i, edge_id AS label, CAST(min(off) AS BIGINT) AS "left", CAST(max(off) + 1 AS BIGINT) AS "right" FROM g GROUP BY read_id, run, edge_id""")
 def g1_align(spark, sf):
-    return P.align(contigs(spark, sf), _contracted(spark, sf), 12)
+    edges = _contracted(spark, sf)
+    found = P.align(contigs(spark, sf), edges, 12).join(edges.select("edge_id", "label"), "edge_id")
+    return found.select("read_id", F.col("i").cast("long").alias("i"), "label", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
 
 
 @query(f"SELECT read_id, seq FROM {CONTIGS} WHERE length(seq) >= 12")
