@@ -94,3 +94,38 @@ def multiplicities(edges: DataFrame) -> DataFrame:
 
     kind = dict(edges.dtypes)
     return edges.select("component", "edge", "src", "dst", "low", "high").groupBy("component").applyInPandas(run, f"component {kind['component']}, edge {kind['edge']}, mult long")
+
+
+def multiplicities_by_coverage(edges: DataFrame, reliable: float = 0.0) -> DataFrame:
+    """(component, edge, mult) of edges (component, edge, src, dst, size, cov, cnt, unique): as ``multiplicities``, with bounds that follow from coverage.
+
+    A unique edge has flow 1; its end outside the component is null. Others may occur once if they are below 1.4 times the least or 1.2 times the
+    largest support of unique edges, whichever is more, and at least once from a coverage of ``reliable``. Where that has no solution and ``reliable`` is 0, edges occur from 0.9
+    times the least or 0.7 times the largest support. At last, edges below 2.4 times the least support are held to two, where that can be solved."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        alone = rows["unique"].to_numpy(bool)
+        cov = rows["cov"].to_numpy(float)
+        entering = rows[alone & rows["dst"].notna().to_numpy()]
+        support = [min(n, c) if s < 20000 else n for s, c, n in zip(entering["size"], entering["cov"], entering["cnt"], strict=True)]
+        least, largest = min(support, default=100000), max(support, default=0)
+        ends = [(None if pd.isna(u) else u, None if pd.isna(v) else v) for u, v in zip(rows["src"], rows["dst"], strict=True)]
+
+        def solved(real: float, two: float) -> list[int | None] | None:
+            one = max(least * 1.4, largest * 1.2)
+            own = []
+            for (u, v), c, unique in zip(ends, cov, alone, strict=True):
+                high = 1 if unique or c < one else 2 if c < two else 10**9
+                own.append((u, v, int(unique or c >= real), high))
+            flow = circulation(own)
+            return None if flow is None else [f if s else None for f, s in zip(flow, fixed(own, flow), strict=True)]
+
+        real, values = reliable, solved(reliable, 0)
+        if values is None and reliable == 0:
+            real = min(least * 0.9, largest * 0.7)
+            values = solved(real, 0)
+        values = solved(real, 2.4 * least) or values or [None] * len(rows)
+        return pd.DataFrame({"component": rows["component"], "edge": rows["edge"], "mult": pd.array(values, dtype="Int64")})
+
+    kind = dict(edges.dtypes)
+    return edges.select("component", "edge", "src", "dst", "size", "cov", "cnt", "unique").groupBy("component").applyInPandas(run, f"component {kind['component']}, edge {kind['edge']}, mult long")

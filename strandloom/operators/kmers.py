@@ -178,6 +178,19 @@ def lookup(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(counts, "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
+def whole_places(reads: DataFrame, contigs: DataFrame, seed: int = 20) -> DataFrame:
+    """(read_id, contig, pos): first place of each contig (contig, seq) in each read that holds it whole.
+
+    Contigs are looked up by their first ``seed`` symbols; for shorter ones there is a pass over the reads for each of the at most seed - 1 lengths. Empty contigs are nowhere."""
+    short = [r[0] for r in contigs.filter(F.length("seq").between(1, seed - 1)).select(F.length("seq")).distinct().collect()]
+    found = None
+    for n in [*sorted(short), seed]:
+        those = contigs.filter(F.length("seq") >= seed if n == seed else F.length("seq") == n).select("contig", F.col("seq").alias("cseq"), F.left("seq", F.lit(n)).alias("kmer"))
+        part = kmers(reads, n).join(those, "kmer").select("read_id", "contig", "cseq", "pos")
+        found = part if found is None else found.unionByName(part)
+    return found.join(reads, "read_id").filter("substr(seq, pos + 1, length(cseq)) = cseq").groupBy("read_id", "contig").agg(F.min("pos").cast("long").alias("pos"))
+
+
 def runs(reads: DataFrame) -> DataFrame:
     """(read_id, pos, symbol, run_len): runs of equal symbols, pos counted in runs."""
     coded = reads.select("read_id", F.posexplode(F.regexp_extract_all("seq", F.lit(r"((.)\2*)"), 1)).alias("pos", "run"))

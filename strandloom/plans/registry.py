@@ -358,7 +358,7 @@ def j6_anti(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").join(table(spark, sf, "lineitem").filter("l_quantity > 48"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
-@query(f"WITH m AS (SELECT DISTINCT read_id, kmer FROM {KMERS(CONTIGS, 8)}), r AS (SELECT kmer FROM m GROUP BY kmer HAVING count(*) BETWEEN 2 AND 50) SELECT x.read_id AS a, y.read_id AS b, count(*) AS n FROM m x JOIN m y ON x.kmer = y.kmer AND x.read_id < y.read_id WHERE x.kmer IN (SELECT kmer FROM r) GROUP BY ALL")
+@query(f"WITH m AS (SELECT DISTINCT read_id, kmer FROM {KMERS(CONTIGS, 8)}), r AS (SELECT x.read_id AS a, y.read_id AS b, count(*) AS n FROM m x JOIN m y ON x.kmer = y.kmer AND x.read_id < y.read_id GROUP BY ALL) SELECT * FROM r")
 def j8_shared_kmer_pairs(spark, sf):
     return K.shared_pairs(contigs(spark, sf), 8)
 
@@ -495,12 +495,9 @@ def g25_seed_offsets(spark, sf):
     return K.seed_offsets(seqs(spark, sf), contigs(spark, sf), 15, 5).withColumn("at", F.col("at").cast("long"))
 
 
-@query(f"SELECT r.read_id, c.read_id AS contig, CAST(instr(r.seq, c.seq) - 1 AS BIGINT) AS pos FROM {SEQS} r JOIN {CONTIGS} c ON instr(r.seq, c.seq) > 0 WHERE length(c.seq) >= 20")
+@query(f"SELECT r.read_id, c.read_id AS contig, CAST(instr(r.seq, c.seq) - 1 AS BIGINT) AS pos FROM {SEQS} r JOIN {CONTIGS} c ON instr(r.seq, c.seq) > 0 WHERE c.seq <> ''")
 def g26_exact_containment(spark, sf):
-    whole = contigs(spark, sf).filter(F.length("seq") >= 20).select(F.col("read_id").alias("contig"), F.col("seq").alias("cseq"), F.expr("substr(seq, 1, 20)").alias("kmer"))
-    reads = seqs(spark, sf)
-    found = K.kmers(reads, 20).join(whole, "kmer").select("read_id", "contig", "cseq", "pos")
-    return found.join(reads, "read_id").filter("substr(seq, pos + 1, length(cseq)) = cseq").groupBy("read_id", "contig").agg(F.min("pos").cast("long").alias("pos"))
+    return K.whole_places(seqs(spark, sf), contigs(spark, sf).withColumnRenamed("read_id", "contig"))
 
 
 _LABELS = f"(SELECT left(label, 3) AS src, right(label, 3) AS dst, label, count(*) AS cov FROM (SELECT substr(seq, i + 1, 7) AS label FROM (SELECT seq, unnest(range(0, length(seq) - 6)) AS i FROM {EVENTS})) GROUP BY label)"
