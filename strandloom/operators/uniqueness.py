@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.graph import chained
+from strandloom.operators.graph import chained, contract, degrees
+from strandloom.operators.shared import materialise, remove
 
 
 def bundles(edges: DataFrame) -> DataFrame:
@@ -103,3 +106,55 @@ def loop_votes(edges: DataFrame, bridged: DataFrame | None = None) -> DataFrame:
         agreed = agreed.join(bridged, ["into", "out"], "left_anti")
     again = F.flatten(F.array_repeat(F.array("back", "forward"), F.col("times").cast("int")))
     return agreed.select("forward", "back", "into", "out", "times", F.concat(F.array("into", "forward"), again, F.array("out")).alias("path"))
+
+
+def reliable_extensions(edges: DataFrame, starts: DataFrame, length: int, least: float) -> DataFrame:
+    """(key, path, seq, len): from each start (key, v) the edges (edge_id, src, dst, label, cov) that follow, until they have ``length`` symbols, where each is the only one
+    of coverage ``least`` or more. Starts without such a way have no row."""
+    spark = edges.sparkSession
+    good = edges.filter(F.col("cov") >= least)
+    alone = good.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("edge_id", "dst", "label"))).filter("m = 1")
+    steps, steps_path = materialise(alone.select("v", "edge_id", "dst", F.expr("substr(label, length(v) + 1)").alias("tail")), "steps")
+    front = starts.select("key", "v", F.array().cast(f"array<{dict(edges.dtypes)['edge_id']}>").alias("path"), F.lit("").alias("seq"), F.lit(0).alias("len"))
+    found = [front.filter(F.lit(length <= 0)).drop("v")]
+    while length > 0:
+        longer = front.join(steps, "v").select("key", F.col("dst").alias("v"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("seq", "tail").alias("seq"), (F.col("len") + F.length("tail")).alias("len"))
+        grown, _ = materialise(longer, "front")
+        found.append(grown.filter(F.col("len") >= length).drop("v"))
+        front = grown.filter(F.col("len") < length)
+        if front.isEmpty():
+            break
+    out, _ = materialise(reduce(DataFrame.unionByName, found), "extended")
+    remove(spark, steps_path)
+    return out
+
+
+def extended_contigs(edges: DataFrame) -> DataFrame:
+    """(seq, n): each edge of (src, dst, label, cov) extended forward while one edge follows and back while one precedes, without those that lie within another one; n counts
+    unbranching paths. A way that comes round ends before its first repeated edge; a pure ring is one contig.
+
+    An unbranching path within another's extension is one that begins where several end and it alone begins, or ends where it alone ends and several begin."""
+    spark = edges.sparkSession
+    units, units_path = materialise(contract(edges).select("src", "dst", "label", F.sha1("label").alias("id")), "units")
+    d = degrees(units)
+    at = lambda c: d.select(F.col("v").alias(c), F.col("n_in").alias(f"{c}_in"), F.col("n_out").alias(f"{c}_out"))
+    rows = units.join(at("src"), "src").join(at("dst"), "dst")
+    seeds = rows.filter("not (src_in > 1 and src_out = 1) and not (dst_out > 1 and dst_in = 1)")
+    before = rows.filter("dst_in = 1").select(F.col("dst").alias("v"), F.col("src").alias("to"), F.col("id").alias("next"), F.expr("left(label, length(label) - length(dst))").alias("text"))
+    after = rows.filter("src_out = 1").select(F.col("src").alias("v"), F.col("dst").alias("to"), F.col("id").alias("next"), F.expr("substr(label, length(src) + 1)").alias("text"))
+    walks, path = materialise(seeds.select(F.col("src").alias("v"), F.col("dst").alias("end"), F.array("id").alias("path"), F.col("label").alias("seq")), "walks")
+    for steps, back in ((before, True), (after, False)):
+        done = []
+        while True:
+            went = walks.join(steps, "v", "left").withColumn("on", F.col("next").isNotNull() & ~F.array_contains("path", F.col("next")))
+            moved = went.select("on", F.when(F.col("on"), F.col("to")).otherwise(F.col("v")).alias("v"), "end", F.when(F.col("on"), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"), F.when(F.col("on"), F.concat("text", "seq") if back else F.concat("seq", "text")).otherwise(F.col("seq")).alias("seq"))
+            grown, _ = materialise(moved, "walks")
+            done.append(grown.filter("not on").drop("on"))
+            walks = grown.filter("on").drop("on")
+            if walks.isEmpty():
+                break
+        whole = reduce(DataFrame.unionByName, done)
+        walks, _ = materialise(whole.select(F.col("end").alias("v"), "end", "path", "seq"), "walks")
+    remove(spark, units_path)
+    remove(spark, path)
+    return walks.groupBy("seq").agg(F.max(F.size("path")).cast("long").alias("n"))

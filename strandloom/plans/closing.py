@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions import alignment as D
+from strandloom.functions import repeats as Z
 from strandloom.functions import sequences as S
 from strandloom.operators import flow as W
 from strandloom.operators import gaps as Q
+from strandloom.operators import graph as G
 from strandloom.operators import kmers as K
+from strandloom.operators import paths as P
 from strandloom.operators import polishing as O
 from strandloom.operators import uniqueness as U
-from strandloom.plans.registry import CONTIGS, SEQS, contigs, query, seqs, table
+from strandloom.plans.registry import CONTIGS, SEQS, contigs, event_strings, pairs, query, seqs, table
 
 
 def ladders(spark, sf) -> DataFrame:
@@ -111,3 +116,58 @@ def l16_gap_patches(spark, sf):
     name = F.concat_ws("-", "read_id", "side")
     edges = parts.select(name.alias("edge_id"), F.concat(F.lit("from "), name).alias("src"), F.concat(F.lit("to "), name).alias("dst"), "label", F.lit(3).alias("cov"))
     return Q.patches(Q.dead_ends(edges, 40), k=12, least=20, most=1000)
+
+
+@query(None)
+def h13_contigs(spark, sf):
+    return U.extended_contigs(G.edges_of(contigs(spark, sf), 12))
+
+
+@query(None)
+def l5_reliable_extensions(spark, sf):
+    edges = P.identified(G.contract(G.edges_of(contigs(spark, sf), 12)))
+    starts = edges.select(F.col("src").alias("key"), F.col("src").alias("v")).distinct()
+    return U.reliable_extensions(edges, starts, 30, 1).select("key", "seq")
+
+
+@query(None)
+def g20_both_strands(spark, sf):
+    """First vertex and edge symbols of each item's path, on either strand."""
+    reads = contigs(spark, sf)
+    across = reads.select(F.concat(F.lit("-"), F.col("read_id").cast("string")).alias("read_id"), S.reverse_complement(F.col("seq")).alias("seq"))
+    both = reads.select(F.col("read_id").cast("string").alias("read_id"), "seq").unionByName(across)
+    edges = P.identified(G.contract(G.edges_of(both, 12)))
+    return P.compact(P.align(both, edges, 12), edges).select("read_id", "src", "symbols")
+
+
+@query(None)
+def d20_overlap_scores(spark, sf):
+    found = pairs(spark, sf).select("a", "b", D.best_overlap(F.col("s"), F.col("t")).alias("o"))
+    return found.select("a", "b", "o.score", "o.used_a", "o.used_b")
+
+
+@query(None)
+def d21_cigars(spark, sf):
+    return pairs(spark, sf).select("a", "b", D.cigar_of(F.col("s"), F.col("t")).alias("cigar"))
+
+
+_STATES = np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.4, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.4]])
+
+
+@query(None)
+def d32_states(spark, sf):
+    """Hidden states of each item of the benchmark, two states over four symbols."""
+    codes = F.transform(S.symbols(F.col("seq")), lambda x: F.instr(F.lit("ACGT"), x) - 1)
+    return contigs(spark, sf).select("read_id", F.array_join(D.decoded(codes, *_STATES).cast("array<string>"), "").alias("states"))
+
+
+@query(None)
+def e14_dimer_repeats(spark, sf):
+    found = seqs(spark, sf).select("read_id", F.explode(Z.dimers(S.compress_runs(F.col("seq")), 3)).alias("d"))
+    return found.select("read_id", "d.start", "d.times", "d.dimer")
+
+
+@query(None)
+def e16_dimer_around(spark, sf):
+    """How often dimers alternate around the middle of each user's events."""
+    return event_strings(spark, sf).select("read_id", Z.dimer_multiplicity(F.col("seq"), F.floor(F.length("seq") / 2)).alias("n"))

@@ -3,7 +3,12 @@
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from strandloom.functions import alignment as D
 from strandloom.operators import flow, polishing
+from strandloom.operators import graph as G
 from strandloom.operators import kmers as K
 from strandloom.operators import uniqueness as U
 
@@ -99,3 +104,51 @@ def test_whole_places_of_short_contigs(spark):
     df = spark.createDataFrame(list(enumerate(parts)), "contig int, seq string")
     want = {(r["read_id"], c, r["seq"].index(p)) for r in reads.collect() for c, p in enumerate(parts) if p and p in r["seq"]}
     assert {tuple(r) for r in K.whole_places(reads, df, 20).collect()} == want
+
+
+def plain_contigs(edges):
+    """Each edge extended back and forward, without those within another; edges are (src, dst, label)."""
+    out, into = {}, {}
+    for e in edges:
+        out.setdefault(e[0], []).append(e)
+        into.setdefault(e[1], []).append(e)
+    paths = set()
+    for e in edges:
+        path = [e]
+        while len(into.get(path[0][0], [])) == 1 and into[path[0][0]][0] not in path:
+            path.insert(0, into[path[0][0]][0])
+        while len(out.get(path[-1][1], [])) == 1 and out[path[-1][1]][0] not in path:
+            path.append(out[path[-1][1]][0])
+        paths.add(tuple(path))
+    within = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+    left = [p for p in paths if not any(p != q and within(p, q) for q in paths)]
+    return {p[0][2] + "".join(e[2][len(e[0]) :] for e in p[1:]) for p in left}
+
+
+def test_extended_contigs(spark):
+    rng = random.Random(8)
+    for k, n, length in ((4, 3, 30), (5, 4, 40), (6, 3, 60)):
+        reads = [(i, "".join(rng.choice("ACGT") for _ in range(length))) for i in range(n)]
+        edges = G.edges_of(spark.createDataFrame(reads, "read_id int, seq string"), k)
+        own = [(r["src"], r["dst"], r["label"]) for r in edges.collect()]
+        assert {r["seq"] for r in U.extended_contigs(edges).collect()} == plain_contigs(own)
+    ring = spark.createDataFrame([("a", "b", "ab", 1), ("b", "a", "ba", 1)], "src string, dst string, label string, cov long")
+    assert [r["seq"] for r in U.extended_contigs(ring).collect()] in (["aba"], ["bab"])
+    assert U.extended_contigs(ring.limit(0)).count() == 0
+
+
+def test_reliable_extensions(spark):
+    rows = [(1, "AA", "AC", "AAC", 5), (2, "AA", "AG", "AAG", 1), (3, "AC", "CT", "ACCT", 5), (4, "CT", "TT", "CTT", 5), (5, "CT", "TG", "CTG", 5), (6, "GG", "GG", "GGG", 9)]
+    edges = spark.createDataFrame(rows, "edge_id int, src string, dst string, label string, cov long")
+    starts = spark.createDataFrame([(x, x) for x in ("AA", "CT", "GG", "TT")], "key string, v string")
+    found = lambda n, least: {tuple(map(tuple, [r["path"]])) + (r["key"], r["seq"], r["len"]) for r in U.reliable_extensions(edges, starts, n, least).collect()}
+    assert found(3, 2) == {((1, 3), "AA", "CCT", 3), ((6, 6, 6), "GG", "GGG", 3)}
+    assert found(4, 2) == {((6, 6, 6, 6), "GG", "GGGG", 4)}
+    assert found(1, 1) == {((6,), "GG", "G", 1)}
+
+
+def test_columns_of_alignment(spark):
+    df = spark.createDataFrame([("GGACGT", "ACGTCC", [0, 0, 1, 1]), ("", "A", []), (None, "A", None)], "a string, b string, o array<int>")
+    assert [r[0] and tuple(r[0]) for r in df.select(D.best_overlap(F.col("a"), F.col("b"))).collect()] == [(4, 4, 4), (0, 0, 0), (None, None, None)]
+    step, emit = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.99, 0.01], [0.01, 0.99]])
+    assert [r[0] for r in df.select(D.decoded(F.col("o"), step, emit)).collect()] == [[0, 0, 1, 1], [], None]
