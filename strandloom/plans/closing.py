@@ -12,6 +12,7 @@ from strandloom.functions import sequences as S
 from strandloom.operators import flow as W
 from strandloom.operators import gaps as Q
 from strandloom.operators import graph as G
+from strandloom.operators import iterative as N
 from strandloom.operators import kmers as K
 from strandloom.operators import paths as P
 from strandloom.operators import polishing as O
@@ -171,3 +172,10 @@ def e14_dimer_repeats(spark, sf):
 def e16_dimer_around(spark, sf):
     """How often dimers alternate around the middle of each user's events."""
     return event_strings(spark, sf).select("read_id", Z.dimer_multiplicity(F.col("seq"), F.floor(F.length("seq") / 2)).alias("n"))
+
+
+@query(None)
+def f12_iterative_graph(spark, sf):
+    """The last one of three graphs of the benchmark's 8- to 10-mers that occur twice."""
+    *_, (_, edges) = N.iterative_graphs(contigs(spark, sf), 8, 10, lambda k: 2)
+    return edges

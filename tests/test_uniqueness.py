@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignment as D
 from strandloom.operators import flow, polishing
 from strandloom.operators import graph as G
+from strandloom.operators import iterative as N
 from strandloom.operators import kmers as K
 from strandloom.operators import uniqueness as U
 
@@ -152,3 +153,50 @@ def test_columns_of_alignment(spark):
     assert [r[0] and tuple(r[0]) for r in df.select(D.best_overlap(F.col("a"), F.col("b"))).collect()] == [(4, 4, 4), (0, 0, 0), (None, None, None)]
     step, emit = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.99, 0.01], [0.01, 0.99]])
     assert [r[0] for r in df.select(D.decoded(F.col("o"), step, emit)).collect()] == [[0, 0, 1, 1], [], None]
+
+
+def plain_graphs(reads, shortest, longest, least, crossings):
+    """The edges (label: cov) of each k."""
+    def counted(texts, k):
+        found = {}
+        for t in texts:
+            for i in range(len(t) - k + 1):
+                found[t[i : i + k]] = found.get(t[i : i + k], 0) + 1
+        return found
+
+    more, ways, out = {}, {}, []
+    for k in range(shortest, longest + 1):
+        index = counted(reads, k)
+        often = {m for m, n in index.items() if n >= least}
+        found = {m: index[m] for m in often}
+        for t in reads:
+            at = [i for i in range(len(t) - k + 1) if t[i : i + k] in often]
+            for i in range(at[0], at[-1] + 1) if at else ():
+                if index[t[i : i + k]] >= min(4, least):
+                    found[t[i : i + k]] = index[t[i : i + k]]
+        found = {**more, **found, **ways}
+        while True:
+            heads, tails = {m[:-1] for m in found}, {m[1:] for m in found}
+            gone = {m for m, n in found.items() if n < least and (m[:-1] not in tails or m[1:] not in heads)}
+            if not gone:
+                break
+            found = {m: n for m, n in found.items() if m not in gone}
+        out.append(found)
+        more = counted(plain_contigs([(m[:-1], m[1:], m) for m in found]), k + 1)
+        index = counted(reads, k + 1)
+        ins, outs = {}, {}
+        for m in found:
+            outs.setdefault(m[:-1], []).append(m)
+            ins.setdefault(m[1:], []).append(m)
+        pairs = [a + b[-1] for v in ins if len(ins[v]) > 1 and len(outs.get(v, [])) > 1 for a in ins[v] for b in outs[v]]
+        ways = {m: index[m] for m in pairs if index.get(m, 0) >= crossings}
+    return out
+
+
+def test_iterative_graphs(spark):
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(60))
+    reads = [genome[i : i + 25] for i in range(0, 36, 4)] + [genome[10:30] + genome[5:25]]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id int, seq string")
+    got = [{r["label"]: r["cov"] for r in edges.collect()} for _, edges in N.iterative_graphs(df, 3, 5, lambda k: 2, 2)]
+    assert got == plain_graphs(reads, 3, 5, 2, 2) and len(got[0]) > 10
