@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import canonical, reverse_complement
+from strandloom.operators import coded
 from strandloom.operators.graph import contract
 from strandloom.operators.kmers import junctions, kmers
 from strandloom.operators.shared import materialise
@@ -42,8 +43,19 @@ def _edges(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     return inner.unionByName(tails).unionByName(heads)
 
 
-def sparse_edges(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
-    """Distinct edges on both strands. Reads are (read_id, seq), one row for each id."""
+def sparse_edges(reads: DataFrame, vertices: DataFrame, k: int, both: bool = True) -> DataFrame:
+    """Distinct edges on both strands, or but for dangling ones the smaller, which is enough to cut them. Reads are (read_id, seq), one row for each id.
+
+    Vertices of up to 13 symbols ACGT go to all tasks as a bitmap, which cut the reads where they lie; others are joined to all k-mers."""
+    bits = coded.bitmap(vertices, k) if k <= coded.WIDEST else None
+    if bits is not None:
+        return coded.edges(coded.cut(reads, reads.sparkSession.sparkContext.broadcast(bits), k), k, both)
+    found = joined_edges(reads, vertices, k)
+    return found if both else found.filter(F.col("dst").isNull() | (F.col("label") <= reverse_complement(F.col("label"))))
+
+
+def joined_edges(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """``sparse_edges`` by joins, for vertices of any length and symbols."""
     found = _edges(reads, vertices, k)
     across = found.filter("dst is not null").select(reverse_complement(F.col("dst")).alias("src"), reverse_complement(F.col("src")).alias("dst"), reverse_complement(F.col("label")).alias("label"))
     return found.select(*EDGE).unionByName(across).distinct()
@@ -51,6 +63,8 @@ def sparse_edges(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
 
 def resplit(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     """Edges cut at all vertices within their labels."""
+    if k <= coded.WIDEST:
+        return sparse_edges(edges.select(F.col("label").alias("read_id"), F.col("label").alias("seq")), vertices, k)
     reads = edges.select(F.col("label").alias("read_id"), F.col("label").alias("seq")).distinct()
     return sparse_edges(reads, vertices, k)
 

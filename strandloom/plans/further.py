@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from strandloom.functions import repeats as Z
 from strandloom.functions import sequences as S
 from strandloom.operators import bloom as B
+from strandloom.operators import coded as C
 from strandloom.operators import graph as G
 from strandloom.operators import intervals as I
 from strandloom.operators import kmers as K
 from strandloom.operators import paths as P
 from strandloom.operators import sparse as Y
 from strandloom.operators.components import connected_components
-from strandloom.operators.shared import new_path
+from strandloom.operators.shared import materialise, new_path
 from strandloom.plans.inventory import _BASE4
 from strandloom.plans.registry import BLOCKS, CONTIGS, EDGES, EVENTS, KMERS, PAIRS, POINTS, RC, SEGMENTS, SEQS, SPECTRUM, contigs, customer_blocks, event_strings, pairs, points, query, segments, seqs, table
 from strandloom.sources import formats as X
@@ -39,9 +40,9 @@ def SPARSE(reads: str, vertex: str, k: int) -> str:
 _RARE = f"{CANONICAL('kmer')} LIKE 'AAC%'"
 
 
-def _rare(spark, sf) -> DataFrame:
+def _rare(reads: DataFrame) -> DataFrame:
     """Canonical 11-mers that begin with AAC."""
-    return K.kmers(seqs(spark, sf), 11).select(S.canonical(F.col("kmer")).alias("kmer")).filter("kmer LIKE 'AAC%'").distinct()
+    return C.distinct_kmers(reads, 11, "canonical").filter("kmer LIKE 'AAC%'")
 
 
 @query(f"SELECT DISTINCT {CANONICAL('kmer')} AS kmer, v AS vertex FROM (SELECT kmer, unnest([kmer, {RC('kmer')}]) AS v FROM {KMERS(CONTIGS, 11)})")
@@ -52,7 +53,8 @@ def f1_vertices(spark, sf):
 
 @query(f"SELECT * FROM {SPARSE(SEQS, _RARE, 11)}")
 def f2_sparse_edges(spark, sf):
-    return Y.sparse_edges(seqs(spark, sf), _rare(spark, sf), 11)
+    reads, _ = materialise(seqs(spark, sf), "reads")
+    return Y.sparse_edges(reads, _rare(reads), 11)
 
 
 _E2 = f"e AS MATERIALIZED (SELECT * FROM {SPARSE(SEQS, _RARE, 11)})"
@@ -61,8 +63,10 @@ _LABELS = "(SELECT DISTINCT label AS read_id, label AS seq FROM e)"
 
 @query(f"WITH {_E2} SELECT * FROM {SPARSE(_LABELS, CANONICAL('kmer') + " LIKE 'AA%'", 11)}")
 def f4_resplit(spark, sf):
-    more = K.kmers(seqs(spark, sf), 11).select(S.canonical(F.col("kmer")).alias("kmer")).filter("kmer LIKE 'AA%'").distinct()
-    return Y.resplit(Y.sparse_edges(seqs(spark, sf), _rare(spark, sf), 11), more, 11)
+    reads, _ = materialise(seqs(spark, sf), "reads")
+    more, _ = materialise(C.distinct_kmers(reads, 11, "canonical").filter("kmer LIKE 'AA%'"), "more")
+    edges, _ = materialise(Y.sparse_edges(reads, more.filter("kmer LIKE 'AAC%'"), 11, False).select("label"), "labels")
+    return Y.resplit(edges, more, 11)
 
 
 _ENDS = f"SELECT {CANONICAL('right(label, 11)')} FROM e WHERE dst IS NULL"
@@ -70,8 +74,10 @@ _ENDS = f"SELECT {CANONICAL('right(label, 11)')} FROM e WHERE dst IS NULL"
 
 @query(f"WITH {_E2} SELECT * FROM {SPARSE(_LABELS, f'({_RARE} OR {CANONICAL("kmer")} IN ({_ENDS}))', 11)}")
 def f5_tied_tips(spark, sf):
-    vertices = _rare(spark, sf)
-    return Y.tie_tips(Y.sparse_edges(seqs(spark, sf), vertices, 11), vertices, 11)
+    reads, _ = materialise(seqs(spark, sf), "reads")
+    vertices, _ = materialise(_rare(reads), "vertices")
+    edges, _ = materialise(Y.sparse_edges(reads, vertices, 11, False).select("dst", "label"), "labels")
+    return Y.tie_tips(edges, vertices, 11)
 
 
 @query(None)
