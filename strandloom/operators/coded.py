@@ -69,6 +69,25 @@ def both_strands(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         width *= 2
 
 
+class Longest:
+    """Numbers of the 31 symbols from any asked place on, or of their reverse complements, put together from windows of 13."""
+
+    def __init__(self, windows: np.ndarray, across: bool):
+        self.windows, self.steps = windows, (18, 5, 0) if across else (0, 13, 18)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        a, b, c = (self.windows[at + i].astype(np.uint64) for i in self.steps)
+        return a << np.uint64(36) | b << np.uint64(10) | (c & np.uint64(1023))
+
+
+def padded(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, Longest, Longest]:
+    """k-mers of both strands by place, k up to 13, and the 31 symbols by place, 31 more than in ``code``."""
+    pad = np.zeros(SHORT, np.uint8)
+    f, r = both_strands(np.concatenate([pad, code, pad]), WIDEST)
+    n, rest = len(code) - k + 1, np.uint32(2 * (WIDEST - k))
+    return f[SHORT : SHORT + n] >> rest, r[SHORT + k - WIDEST : SHORT + k - WIDEST + n] >> rest, Longest(f, False), Longest(r, True)
+
+
 def taken(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which numbers are in a bitmap."""
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
@@ -118,30 +137,59 @@ def _whole(offsets: np.ndarray, k: int) -> np.ndarray:
 # sets of k-mers
 
 
+def _mark(bits: np.ndarray, numbers: np.ndarray) -> None:
+    """Put numbers into a bitmap."""
+    x = _once(numbers)
+    at = x >> 3
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    if len(first):
+        bits[at[first]] |= np.bitwise_or.reduceat(np.uint8(128) >> (x & 7).astype(np.uint8), first)
+
+
+def _gathering(reads: DataFrame) -> DataFrame:
+    """Fewer tasks than splits, as each may give a whole bitmap."""
+    n = reads.rdd.getNumPartitions()
+    most = max(reads.sparkSession.sparkContext.defaultParallelism, n // 8)
+    return reads.coalesce(most) if most < n else reads
+
+
 def _blocks(reads: DataFrame, k: int, pick: Callable, plain: Callable, least: int) -> DataFrame:
     """(block, bits, odd): bitmaps of the k-mers that ``pick`` takes from chunks, merged; k-mers ``plain`` takes from other texts are rows."""
     size = max(4**k, 8)
+    wide = k > WIDEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, odd = np.zeros(size, bool), set()
+        seen, odd, held, n = np.zeros(size // 8 if wide else size, np.uint8 if wide else bool), set(), [], 0
         for batch in batches:
             for part in texts(batch, least):
                 if not isinstance(part, str):
                     for found in pick(*part):
-                        seen[found] = True
+                        if wide:
+                            held.append(found)
+                            n += len(found)
+                        else:
+                            seen[found] = True
+                    if n > HELD // 4:
+                        _mark(seen, np.concatenate(held))
+                        held, n = [], 0
                     continue
                 for s in plain(part):
                     at = number(s)
                     if at < 0:
                         odd.add(s)
+                    elif wide:
+                        held.append(np.array([at], np.uint32))
                     else:
                         seen[at] = True
                 if len(odd) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array([-1] * len(odd), pa.int32()), pa.nulls(len(odd), pa.binary()), pa.array(sorted(odd))], names=["block", "bits", "odd"])
                     odd = set()
+        if held:
+            _mark(seen, np.concatenate(held))
         for i, at in enumerate(range(0, size, BLOCK)):
-            if seen[at : at + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(seen[at : at + BLOCK]).tobytes()]), pa.nulls(1, pa.string())], names=["block", "bits", "odd"])
+            own = seen[at // 8 : (at + BLOCK) // 8] if wide else seen[at : at + BLOCK]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(own if wide else np.packbits(own)).tobytes()]), pa.nulls(1, pa.string())], names=["block", "bits", "odd"])
         if odd:
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(odd), pa.int32()), pa.nulls(len(odd), pa.binary()), pa.array(sorted(odd))], names=["block", "bits", "odd"])
 
@@ -157,7 +205,7 @@ def _blocks(reads: DataFrame, k: int, pick: Callable, plain: Callable, least: in
         return pa.table([pa.array([rows["block"][0].as_py()] * n, pa.int32()), pa.array(head + [None] * len(odd), pa.binary()), pa.array([None] * len(head) + odd.to_pylist(), pa.string())], names=["block", "bits", "odd"])
 
     form = "block int, bits binary, odd string"
-    found = reads.select("seq").mapInArrow(run, form)
+    found = _gathering(reads.select("seq")).mapInArrow(run, form)
     key = F.when(F.col("block") >= 0, 0).otherwise(F.pmod(F.hash("odd"), F.lit(1024)))
     return found.withColumn("part", key).groupBy("block", "part").applyInArrow(lambda rows: merge(rows), form)
 
@@ -208,6 +256,11 @@ def distinct_kmers(reads: DataFrame, k: int, strands: str = "one") -> DataFrame:
     return _blocks(reads, k, *_windows(k, strands), k).mapInArrow(run, "kmer string")
 
 
+def has_others(reads: DataFrame) -> bool:
+    """Whether some text has other symbols than ACGT."""
+    return not reads.filter(F.col("seq").rlike("[^ACGT]")).isEmpty()
+
+
 def collected(blocks: DataFrame, k: int) -> np.ndarray | None:
     """The bitmap of merged blocks; None if there are k-mers with other symbols."""
     out = np.zeros(max(4**k // 8, 1), np.uint8)
@@ -270,11 +323,7 @@ def _plain_cut(s: str, bits: np.ndarray, k: int) -> Iterator[tuple[str, bool]]:
 
 def _cut_chunk(code: np.ndarray, offsets: np.ndarray, bits: np.ndarray, k: int):
     """Starts, ends, strands and openness of the labels of a chunk, with numbers of the 31 symbols from each place on and back to it."""
-    pad = np.zeros(SHORT, np.uint8)
-    f, r = both_strands(np.concatenate([pad, code, pad]), SHORT)
-    rest = np.uint64(2 * (SHORT - k))
-    n = len(code) - k + 1
-    own, other = f[SHORT : SHORT + n] >> rest, r[k : k + n] >> rest
+    own, other, f, r = padded(code, k)
     at = np.flatnonzero(taken(bits, np.minimum(own, other)) & _whole(offsets, k))
     row = np.searchsorted(offsets, at, "right") - 1
     same = row[1:] == row[:-1]
@@ -302,8 +351,26 @@ def _cut_chunk(code: np.ndarray, offsets: np.ndarray, bits: np.ndarray, k: int):
     return a, b, flip, np.arange(len(a)) >= len(j), f, r
 
 
-def cut(reads: DataFrame, bits, k: int) -> DataFrame:
-    """(bucket, kind, body): labels between vertices of the broadcast bitmap, without most repeated ones. Kinds: 0 numbers, 1 strings; 2 and 3 are open ones."""
+def _used(only: str, a: np.ndarray, b: np.ndarray, is_open: np.ndarray, offsets: np.ndarray, f: np.ndarray, r: np.ndarray, marked: np.ndarray, k: int) -> np.ndarray:
+    """Which labels of a chunk ``cut`` is asked for."""
+    if only == "open":
+        return is_open
+    rest = np.uint64(2 * (SHORT - k))
+    at_mark = lambda at: taken(marked, np.minimum(f[SHORT + at] >> rest, r[k + at] >> rest))
+    touched = at_mark(a) | at_mark(b - k)
+    if only == "held":  # vertices lie at ends of labels, so a text without a marked end has none
+        row = np.searchsorted(offsets, a, "right") - 1
+        has = np.zeros(len(offsets), bool)
+        has[row[touched]] = True
+        return has[row]
+    return ~is_open & (touched if only == "loose" else ~touched)
+
+
+def cut(reads: DataFrame, bits, k: int, only: str = "all", marks=None) -> DataFrame:
+    """(bucket, kind, body): labels between vertices of the broadcast bitmap, without most repeated ones. Kinds: 0 numbers, 1 strings; 2 and 3 are open ones.
+
+    Only: open ones; those of texts that hold a vertex of the bitmap ``marks`` (held); closed ones with a marked end (loose) or without (firm). But
+    for open ones, texts have to be over ACGT then."""
     deal = max(6, int(np.ceil(np.log2(4 * partitions(reads.sparkSession)))))
     form = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 
@@ -332,10 +399,15 @@ def cut(reads: DataFrame, bits, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, n = bits.value, {i: [] for i in range(4)}, 0
+        marked = marks.value if marks is not None else None
         for batch in batches:
             for part in texts(batch, k):
                 if isinstance(part, str):
+                    if only not in ("all", "open"):
+                        raise ValueError("a text has other symbols than ACGT")
                     for label, is_open in _plain_cut(part, own, k):
+                        if only == "open" and not is_open:
+                            continue
                         x = number(label) if len(label) <= SHORT else -1
                         if x >= 0:
                             held[2 * is_open].append(np.array([x | 1 << (2 * len(label))], np.uint64))
@@ -346,6 +418,9 @@ def cut(reads: DataFrame, bits, k: int) -> DataFrame:
                 else:
                     code, offsets = part
                     a, b, flip, is_open, f, r = _cut_chunk(code, offsets, own, k)
+                    if only != "all":
+                        use = _used(only, a, b, is_open, offsets, f, r, marked, k)
+                        a, b, flip, is_open = a[use], b[use], flip[use], is_open[use]
                     size = b - a
                     head = np.where(flip, r[b], f[a + SHORT])
                     short = size <= SHORT
@@ -453,3 +528,237 @@ def edges(labels: DataFrame, k: int, both: bool = True) -> DataFrame:
         return pa.concat_tables([empty, *(t for kind in range(4) for part in _labels(rows, kind) for t in _edges(*part, k, kind > 1, both))])
 
     return labels.groupBy("bucket").applyInArrow(lambda rows: merge(rows), "src string, dst string, label string")
+
+
+# unbranching paths: texts cut at all vertices but the inner ones
+
+
+def mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """A permutation of the numbers of k symbols."""
+    mask, step = np.uint64((1 << 2 * k) - 1), np.uint64(k)
+    x = x.astype(np.uint64) * np.uint64(_MIX | 1) & mask
+    return ((x ^ (x >> step)) * np.uint64(0xD6E8FEB86659FD93) & mask).astype(np.uint32)
+
+
+def unmixed(x: np.ndarray, k: int) -> np.ndarray:
+    mask, step = np.uint64((1 << 2 * k) - 1), np.uint64(k)
+    x = x.astype(np.uint64) * np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64)) & mask
+    return ((x ^ (x >> step)) * np.uint64(_BACK) & mask).astype(np.uint32)
+
+
+def other_strand(x: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the reverse complements."""
+    x = ~x.astype(np.uint32)
+    for mask, step in ((0x33333333, 2), (0x0F0F0F0F, 4), (0x00FF00FF, 8), (0x0000FFFF, 16)):
+        m, n = np.uint32(mask), np.uint32(step)
+        x = (x >> n & m) | ((x & m) << n)
+    return x >> np.uint32(32 - 2 * k)
+
+
+def projected(table: DataFrame) -> DataFrame:
+    """(read_id, seq): texts of (read_id, text) over ACGT as ``sequences.project`` makes them; null stays null."""
+    letter = np.zeros(256, np.uint8)
+    for i in range(26):
+        letter[[65 + i, 97 + i]] = _LETTER[i % 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            i, sums = 0, np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while i < len(sums):
+                n = max(1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + 4 * CHUNK, "right")) - i)
+                batch, i = whole.slice(i, n), i + n
+                data, offsets = _flat(batch.column(1))
+                seq = letter[data]
+                kept = seq > 0
+                ends = np.concatenate([[0], np.cumsum(kept)])[offsets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(batch.column(1).is_valid(), _strings(seq[kept], ends), pa.scalar(None, pa.string()))], names=["read_id", "seq"])
+
+    kind = table.schema["read_id"].dataType.simpleString()
+    return table.select("read_id", "text").mapInArrow(run, f"read_id {kind}, seq string")
+
+
+def minimizer_bits(reads: DataFrame, k: int, w: int) -> np.ndarray | None:
+    """The bitmap of canonical k-mers of least hash among every w in a row; None if a text has other symbols than ACGT."""
+
+    def pick(code, offsets):
+        h = mixed(np.minimum(*both_strands(code, k)), k)
+        best, width = h, 1
+        while 2 * width <= w:
+            best, width = np.minimum(best[:-width], best[width:]), 2 * width
+        n = len(h) - w + 1
+        best = np.minimum(best[:n], best[w - width :][:n])[_whole(offsets, k + w - 1)]
+        return [unmixed(best[np.append(True, best[1:] != best[:-1])[: len(best)]], k)]
+
+    def plain(s):
+        yield next(s[i : i + k] for i in range(len(s) - k + 1) if number(s[i : i + k]) < 0)
+
+    return collected(_blocks(reads, k, pick, plain, k + w - 1), k)
+
+
+def end_bits(reads: DataFrame, k: int) -> np.ndarray | None:
+    """The bitmap of the canonical k-mers at both ends of texts."""
+
+    def pick(code, offsets):
+        at = np.concatenate([offsets[:-1], offsets[1:] - k])
+        f, r = both_strands(code[(at[:, None] + np.arange(k)).ravel()], k)
+        return [np.minimum(f[::k], r[::k])]
+
+    def plain(s):
+        for x in (s[:k], s[-k:]):
+            yield min(x, reversed_text(x))
+
+    return collected(_blocks(reads, k, pick, plain, k), k)
+
+
+def _only_way(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the rest that all rows of a key have; 0 if they differ."""
+    if not len(key):
+        return key, rest
+    order = np.argsort(key)
+    key, rest = key[order], rest[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    low, high = np.minimum.reduceat(rest, first), np.maximum.reduceat(rest, first)
+    return key[first], np.where(low == high, low, np.uint64(0))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: high bytes are mostly 0, and shuffles are compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplaned(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def ways(reads: DataFrame, bits, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps over mixed numbers: vertices on either strand that one label leaves, and canonical ones that are first or last in a text.
+
+    Texts are over ACGT, and neighbouring vertices at most 31 symbols apart."""
+    deal = min(2 * k - 3, max(6, int(np.ceil(np.log2(4 * partitions(reads.sparkSession))))))
+    form, names = "bucket int, src binary, rest binary, tips binary", ["bucket", "src", "rest", "tips"]
+    shift = np.uint32(2 * k - deal)
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        src, rest = _only_way(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+        tips = _once(np.concatenate([x[2] for x in held]))
+        a, b = (np.searchsorted(x >> shift, np.arange((1 << deal) + 1)) for x in (src, tips))
+        step = np.diff(src, prepend=src[:1])
+        step[a[:-1][a[:-1] < len(src)]] = src[a[:-1][a[:-1] < len(src)]]
+        rows = [(i, _planes(step[a[i] : a[i + 1]]), _planes(rest[a[i] : a[i + 1]]), tips[b[i] : b[i + 1]].tobytes()) for i in range(1 << deal) if a[i] < a[i + 1] or b[i] < b[i + 1]]
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_bits, held, n = bits.value, [], 0
+        for batch in batches:
+            for part in texts(batch, k):
+                if isinstance(part, str):
+                    raise ValueError("a text has other symbols than ACGT")
+                code, offsets = part
+                own, other, f, r = padded(code, k)
+                at = np.flatnonzero(taken(own_bits, np.minimum(own, other)) & _whole(offsets, k))
+                if not len(at):
+                    continue
+                row = np.searchsorted(offsets, at, "right") - 1
+                same = row[1:] == row[:-1]
+                i, j = at[:-1][same], at[1:][same]
+                if len(i) and (j - i).max() > SHORT:
+                    raise ValueError("vertices are over 31 symbols apart")
+                size = (2 * (j - i)).astype(np.uint64)
+                cut_off, top = np.uint64(2 * SHORT) - size, np.uint64(1) << size
+                tip = at[np.append(True, ~same) | np.append(~same, True)]
+                src = mixed(np.concatenate([own[i], other[j]]), k)
+                held.append((src, np.concatenate([(f[SHORT + i + k] >> cut_off) | top, (r[j] >> cut_off) | top]), mixed(np.minimum(own[tip], other[tip]), k)))
+                n += len(src)
+                if n > HELD // 8:
+                    yield from flush(held)
+                    held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
+        src = np.concatenate([np.cumsum(_unplaned(x, np.uint32), dtype=np.uint32) for x in rows["src"].to_pylist()])
+        src, rest = _only_way(src, np.concatenate([_unplaned(x, np.uint64) for x in rows["rest"].to_pylist()]))
+        tips = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tips"].to_pylist()])
+        out = []
+        for x in (src[rest > 0], tips):
+            seen = np.zeros(1 << int(shift), bool)
+            seen[x & np.uint32((1 << int(shift)) - 1)] = True
+            out.append(np.packbits(seen).tobytes())
+        return pa.table([pa.array([bucket], pa.int32()), pa.array(out[:1]), pa.array(out[1:])], names=["bucket", "one", "tips"])
+
+    found = reads.select("seq").mapInArrow(run, form).groupBy("bucket").applyInArrow(lambda rows: merge(rows), "bucket int, one binary, tips binary")
+    one, tips = (np.zeros(4**k // 8, np.uint8) for _ in range(2))
+    size = (1 << int(shift)) // 8
+    for x in found.toLocalIterator():
+        for whole, own in ((one, x["one"]), (tips, x["tips"])):
+            whole[x["bucket"] * size : (x["bucket"] + 1) * size] = np.frombuffer(own, np.uint8)
+    return one, tips
+
+
+def without_inner(bits: np.ndarray, one: np.ndarray, tips: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the vertices but for inner ones that are first or last in no text, and of the inner ones that are left."""
+    kept, loose = np.zeros_like(bits), np.zeros_like(bits)
+    for i in range(0, len(bits), BLOCK):
+        v = (np.flatnonzero(np.unpackbits(bits[i : i + BLOCK])) + 8 * i).astype(np.uint32)
+        h = mixed(v, k)
+        inner, tip = taken(one, h) & taken(one, mixed(other_strand(v, k), k)), taken(tips, h)
+        _mark(kept, v[~inner | tip])
+        _mark(loose, v[inner & tip])
+    return kept, loose
+
+
+def branches(reads: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Bitmaps of the canonical k-mers whose extensions on either side are not exactly one, and of the others that reads begin or end with; None if a text
+    has other symbols than ACGT. From the bitmap of (k + 1)-mers on both strands, in which the four extensions of a k-mer are neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, bits, odd in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n = np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(-1, 4).sum(axis=1) if odd is None else None
+                out = [None, None] if n is None else [np.packbits(x).tobytes() for x in (n == 1, n > 0)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in out)], names=["block", "one", "some"])
+
+    found = _blocks(reads, k + 1, *_windows(k + 1, "both"), k + 1).mapInArrow(run, "block int, one binary, some binary")
+    one, some = (np.zeros(4**k // 8, np.uint8) for _ in range(2))
+    for x in found.toLocalIterator():
+        if x["one"] is None:
+            return None
+        for whole, own in ((one, x["one"]), (some, x["some"])):
+            at = x["block"] * (BLOCK // 32)
+            whole[at : at + len(own)] = np.frombuffer(own, np.uint8)
+    ends = end_bits(reads, k)
+    kept, loose = np.zeros(4**k, bool), np.zeros(4**k, bool)
+    for i in range(0, len(some), BLOCK):
+        v = (np.flatnonzero(np.unpackbits(some[i : i + BLOCK])) + 8 * i).astype(np.uint32)
+        other = other_strand(v, k)
+        key, inner = np.minimum(v, other), taken(one, v) & taken(one, other)
+        tip = taken(ends, key)
+        kept[key[~inner | tip]] = True
+        loose[key[inner & tip]] = True
+    return np.packbits(kept), np.packbits(loose)
+
+
+def strings_of(spark, bits, k: int) -> DataFrame:
+    """(v): the k-mers of a broadcast bitmap of canonical ones, on both strands."""
+    blocks = max(1, 4**k // BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                x = (np.flatnonzero(np.unpackbits(bits.value[i * (BLOCK // 8) : (i + 1) * (BLOCK // 8)])) + i * BLOCK).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([spelled(_once(np.concatenate([x, other_strand(x, k)])), k)], names=["v"])
+
+    return spark.range(blocks).mapInArrow(run, "v string")
+
+
+def labels_of(labels: DataFrame, k: int, both: bool = True) -> DataFrame:
+    """(label): of ``edges`` the labels alone."""
+    empty = pa.schema([("label", pa.string())]).empty_table()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.concat_tables([empty, *(t.select(["label"]) for kind in range(4) for part in _labels(rows, kind) for t in _edges(*part, k, kind > 1, both))])
+
+    return labels.groupBy("bucket").applyInArrow(lambda rows: merge(rows), "label string")

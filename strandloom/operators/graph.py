@@ -104,10 +104,11 @@ def chained(keep: DataFrame, inner: DataFrame, rounds: int = 40) -> DataFrame:
     return lines.unionByName(rings)
 
 
-def contract(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Unbranching paths as one edge each: (src, dst, label, cov, n). Inner vertices have one way in and one out; a pure
+def contract(edges: DataFrame, rounds: int = 40, inner: DataFrame | None = None) -> DataFrame:
+    """Unbranching paths as one edge each: (src, dst, label, cov, n). Inner vertices, if not given as (v), have one way in and one out; a pure
     cycle begins at its smallest edge."""
-    inner = degrees(edges).filter("n_in = 1 and n_out = 1").select("v")
+    if inner is None:
+        inner = degrees(edges).filter("n_in = 1 and n_out = 1").select("v")
     rows = chained(edges.withColumn("id", F.xxhash64("src", "dst", "label")), inner, rounds)
     parts = rows.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("rank", "src", "dst", "label", "cov"))).alias("p"))
     tail: Column = F.concat_ws("", F.transform(F.expr("slice(p, 2, size(p))"), lambda x: F.substring(x["label"], F.length(x["src"]) + 1, F.length(x["label"]))))

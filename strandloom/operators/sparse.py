@@ -80,6 +80,20 @@ def tie_tips(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
     return resplit(edges, both, k)
 
 
+def tied_edges(reads: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """``tie_tips`` of the reads' sparse edges. With vertices as a bitmap the reads themselves are cut again, those that hold a vertex: what
+    their edges spell together."""
+    spark = reads.sparkSession
+    bits = coded.bitmap(vertices, k) if k <= coded.WIDEST else None
+    if bits is None or coded.has_others(reads):
+        edges, _ = materialise(sparse_edges(reads, vertices, k, False).select("dst", "label"), "labels")
+        return tie_tips(edges, vertices, k)
+    marks = spark.sparkContext.broadcast(bits)
+    open_ones = coded.labels_of(coded.cut(reads, marks, k, "open"), k)
+    both = bits | coded.bitmap(open_ones.select(F.right("label", F.lit(k)).alias("kmer")), k)
+    return coded.edges(coded.cut(reads, spark.sparkContext.broadcast(both), k, "held", marks), k)
+
+
 def without_prefixes(edges: DataFrame) -> DataFrame:
     """Of dangling edges, those that no other label of the same vertex begins with."""
     after = F.lead("label").over(Window.partitionBy("src").orderBy("label"))
@@ -95,21 +109,58 @@ def minimizer_vertices(reads: DataFrame, k: int, w: int) -> DataFrame:
     return least.filter(F.col("n") == w).select("m.kmer").distinct()
 
 
-def disjointigs(reads: DataFrame, k: int, w: int) -> DataFrame:
-    """(read_id, seq): unbranching paths of the sparse graph of minimizers, on both strands: they spell what the reads spell,
-    but places that many reads share only once. Reads of under k + w - 1 symbols take no part."""
+def _paths(reads: DataFrame, kept, loose, k: int) -> tuple[DataFrame, DataFrame]:
+    """Unbranching paths, from reads cut at all vertices but the inner ones: labels as ``coded.cut`` has them, and, contracted, the edges
+    (src, dst, label) at the inner vertices that are left, as reads begin or end there.
+
+    Where no read begins or ends with an inner vertex, each read that enters it goes on, so some read holds the path from one kept vertex to the next."""
+    spark = reads.sparkSession
+    bits, marks = (spark.sparkContext.broadcast(x) for x in (kept, loose))
+    edges, _ = materialise(coded.edges(coded.cut(reads, bits, k, "loose", marks), k), "loose")
+    whole = contract(edges.withColumn("cov", F.lit(0).cast("long")), inner=coded.strings_of(spark, marks, k))
+    return coded.cut(reads, bits, k, "firm", marks), whole.select(*EDGE)
+
+
+def disjointigs(reads: DataFrame, k: int, w: int, both: bool = True) -> DataFrame:
+    """(read_id, seq): unbranching paths of the sparse graph of minimizers, on both strands or, of most, the smaller one: they spell what the reads
+    spell, but places that many reads share only once. Reads of under k + w - 1 symbols take no part.
+
+    k-mers of up to 13 symbols ACGT, at most 31 apart, are bitmaps, and paths are cut from the reads; others are joined."""
     long = reads.filter(F.length("seq") >= k + w - 1)
+    bits = coded.minimizer_bits(long, k, w) if 2 <= k <= coded.WIDEST and w <= coded.SHORT else None
+    if bits is None:
+        paths = _joined_disjointigs(long, k, w)
+    else:
+        share = reads.sparkSession.sparkContext.broadcast
+        own = share(bits)
+        dangling, _ = materialise(coded.edges(coded.cut(long, own, k, "open"), k), "dangling")
+        beside = coded.cut(long, own, k, "loose", share(coded.bitmap(dangling.select(F.col("src").alias("kmer")), k)))
+        longest = without_prefixes(dangling.unionByName(coded.edges(beside, k).join(dangling.select("src"), "src", "left_semi")))
+        tied = bits | coded.bitmap(end_vertices(longest, k), k)
+        firm, loose = _paths(long, *coded.without_inner(tied, *coded.ways(long, share(tied), k), k), k)
+        paths = coded.labels_of(firm, k, both).unionByName(loose.select("label")).select(F.col("label").alias("seq"))
+    return paths.select(F.col("seq").alias("read_id"), "seq")
+
+
+def _joined_disjointigs(long: DataFrame, k: int, w: int) -> DataFrame:
     vertices, _ = materialise(minimizer_vertices(long, k, w), "minimizers")
     edges, _ = materialise(without_prefixes(sparse_edges(long, vertices, k)), "sparse")
     tied, _ = materialise(tie_tips(edges, vertices, k), "tied")
     paths, _ = materialise(contract(tied.withColumn("cov", F.lit(0).cast("long"))).select(F.col("label").alias("seq")), "disjointigs")
-    return paths.select(F.col("seq").alias("read_id"), "seq")
+    return paths
+
 
+def compacted(reads: DataFrame, k: int, w: int, both: bool = True) -> DataFrame:
+    """(src, dst, label): the de Bruijn graph of reads on both strands, its unbranching paths as edges, on both strands or, of most, the smaller one:
+    what contraction of all (k + 1)-mers gives, but that nothing is contracted symbol by symbol. Reads of under k + w - 1 symbols take no part.
 
-def compacted(reads: DataFrame, k: int, w: int) -> DataFrame:
-    """(src, dst, label): the de Bruijn graph of reads on both strands, its unbranching paths as edges: what contraction of all
-    (k + 1)-mers gives, but that nothing is contracted symbol by symbol. Junctions of the disjointigs and their ends are vertices first;
-    ends that turn out to lie within a path go."""
+    Junctions and ends are vertices first; ends that turn out to lie within a path go. For k of up to 13 and ACGT they are those of the reads,
+    in bitmaps; else those of the disjointigs."""
+    long = reads.filter(F.length("seq") >= k + w - 1)
+    found = coded.branches(long, k) if 2 <= k <= coded.WIDEST else None
+    if found is not None:
+        firm, loose = _paths(long, *found, k)
+        return coded.edges(firm, k, both).unionByName(loose)
     paths = disjointigs(reads, k, w)
     ends = paths.select(F.explode(F.array(F.left("seq", F.lit(k)), F.right("seq", F.lit(k)))).alias("kmer")).select(canonical(F.col("kmer")).alias("kmer"))
     vertices, _ = materialise(junctions(paths, k).unionByName(ends).distinct(), "junctions")

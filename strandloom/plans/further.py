@@ -37,6 +37,12 @@ def SPARSE(reads: str, vertex: str, k: int) -> str:
         UNION SELECT {RC('kmer')}, NULL, {RC(f'substr(seq, 1, pos + {k})')} FROM w WHERE bp IS NULL AND pos > 0)"""
 
 
+def _reads(spark, sf) -> DataFrame:
+    """The documents' sequences, written once."""
+    reads, _ = materialise(C.projected(table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), "text")), "reads")
+    return reads
+
+
 _RARE = f"{CANONICAL('kmer')} LIKE 'AAC%'"
 
 
@@ -97,7 +103,7 @@ def f9_spelled_kmers(spark, sf):
 
 @query(f"SELECT kmer FROM {KMERS(_LONG, 13)} UNION SELECT {RC('kmer')} FROM {KMERS(_LONG, 13)}")
 def f8_disjointig_kmers(spark, sf):
-    return K.kmers(Y.disjointigs(seqs(spark, sf), 13, 20), 13).select("kmer").distinct()
+    return C.distinct_kmers(Y.disjointigs(_reads(spark, sf), 13, 20, False), 13, "both")
 
 
 @query(f"SELECT DISTINCT left(s, 11) AS src, right(s, 11) AS dst, s AS label FROM (SELECT seq AS s FROM {CONTIGS} UNION SELECT {RC('seq')} FROM {CONTIGS}) WHERE length(s) >= 11")
