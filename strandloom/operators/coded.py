@@ -148,9 +148,8 @@ def _mark(bits: np.ndarray, numbers: np.ndarray) -> None:
 
 def _gathering(reads: DataFrame) -> DataFrame:
     """Fewer tasks than splits, as each may give a whole bitmap."""
-    n = reads.rdd.getNumPartitions()
-    most = max(reads.sparkSession.sparkContext.defaultParallelism, n // 8)
-    return reads.coalesce(most) if most < n else reads
+    spark = reads.sparkSession
+    return reads.coalesce(max(spark.sparkContext.defaultParallelism, partitions(spark) // 8))
 
 
 def _blocks(reads: DataFrame, k: int, pick: Callable, plain: Callable, least: int) -> DataFrame:
@@ -205,7 +204,8 @@ def _blocks(reads: DataFrame, k: int, pick: Callable, plain: Callable, least: in
         return pa.table([pa.array([rows["block"][0].as_py()] * n, pa.int32()), pa.array(head + [None] * len(odd), pa.binary()), pa.array([None] * len(head) + odd.to_pylist(), pa.string())], names=["block", "bits", "odd"])
 
     form = "block int, bits binary, odd string"
-    found = _gathering(reads.select("seq")).mapInArrow(run, form)
+    source = reads.select("seq")
+    found = (_gathering(source) if wide else source).mapInArrow(run, form)
     key = F.when(F.col("block") >= 0, 0).otherwise(F.pmod(F.hash("odd"), F.lit(1024)))
     return found.withColumn("part", key).groupBy("block", "part").applyInArrow(lambda rows: merge(rows), form)
 
@@ -245,15 +245,18 @@ def distinct_kmers(reads: DataFrame, k: int, strands: str = "one") -> DataFrame:
         for batch in batches:
             for block, bits, odd in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if odd is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([odd])], names=["kmer"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted({odd, reversed_text(odd)} if strands == "both" else {odd}))], names=["kmer"])
                     continue
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) + block * BLOCK
+                at = (np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) + block * BLOCK).astype(np.uint32)
+                if strands == "both":
+                    other = other_strand(at, k)
+                    at = np.concatenate([at, other[other != at]])
                 for i in range(0, len(at), 1 << 16):
                     yield pa.RecordBatch.from_arrays([spelled(at[i : i + (1 << 16)], k)], names=["kmer"])
 
     if k > WIDEST + 1:
         raise ValueError("k is over 14")
-    return _blocks(reads, k, *_windows(k, strands), k).mapInArrow(run, "kmer string")
+    return _blocks(reads, k, *_windows(k, "one" if strands == "one" else "canonical"), k).mapInArrow(run, "kmer string")
 
 
 def has_others(reads: DataFrame) -> bool:
@@ -380,7 +383,7 @@ def cut(reads: DataFrame, bits, k: int, only: str = "all", marks=None) -> DataFr
             if held[kind]:
                 h = _once(np.concatenate(held[kind]) * np.uint64(_MIX))
                 edges = np.searchsorted(h, np.arange(1, 1 << deal, dtype=np.uint64) << np.uint64(64 - deal))
-                out += [(i, kind, x.tobytes()) for i, x in enumerate(np.split(h, edges)) if len(x)]
+                out += [(i, kind, _planes(np.diff(np.sort(x * np.uint64(_BACK)), prepend=np.uint64(0)))) for i, x in enumerate(np.split(h, edges)) if len(x)]
         for kind in (1, 3):
             if held[kind]:
                 key, size, data = (np.concatenate([x[i] for x in held[kind]]) for i in range(3))
@@ -472,7 +475,7 @@ def _labels(rows: pa.Table, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]
     if not bodies:
         return
     if kind % 2 == 0:
-        found = _once(np.concatenate([np.frombuffer(x, np.uint64) for x in bodies])) * np.uint64(_BACK)
+        found = _once(np.concatenate([np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in bodies]))
         for i in range(0, len(found), CHUNK // 4):
             yield _decoded(found[i : i + CHUNK // 4])
         return

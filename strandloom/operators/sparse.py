@@ -14,7 +14,7 @@ from strandloom.functions.sequences import canonical, reverse_complement
 from strandloom.operators import coded
 from strandloom.operators.graph import contract
 from strandloom.operators.kmers import junctions, kmers
-from strandloom.operators.shared import materialise
+from strandloom.operators.shared import materialise, release
 
 EDGE = ["src", "dst", "label"]
 
@@ -115,6 +115,7 @@ def _paths(reads: DataFrame, kept, loose, k: int) -> tuple[DataFrame, DataFrame]
 
     Where no read begins or ends with an inner vertex, each read that enters it goes on, so some read holds the path from one kept vertex to the next."""
     spark = reads.sparkSession
+    release(spark)
     bits, marks = (spark.sparkContext.broadcast(x) for x in (kept, loose))
     edges, _ = materialise(coded.edges(coded.cut(reads, bits, k, "loose", marks), k), "loose")
     whole = contract(edges.withColumn("cov", F.lit(0).cast("long")), inner=coded.strings_of(spark, marks, k))

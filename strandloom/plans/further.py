@@ -88,7 +88,7 @@ def f5_tied_tips(spark, sf):
 
 @query(None)
 def f9_compacted(spark, sf):
-    return Y.compacted(seqs(spark, sf), 13, 20)
+    return Y.compacted(_reads(spark, sf), 13, 20)
 
 
 _LONG = f"(SELECT * FROM {SEQS} WHERE length(seq) >= 32)"
