@@ -97,8 +97,8 @@ _LONG = f"(SELECT * FROM {SEQS} WHERE length(seq) >= 32)"
 @query(f"SELECT kmer FROM {KMERS(_LONG, 14)} UNION SELECT {RC('kmer')} FROM {KMERS(_LONG, 14)}")
 def f9_spelled_kmers(spark, sf):
     """What the compacted graph spells."""
-    labels = f9_compacted(spark, sf).select(F.col("label").alias("read_id"), F.col("label").alias("seq"))
-    return K.kmers(labels, 14).select("kmer").distinct()
+    labels = Y.compacted(_reads(spark, sf), 13, 20, False).select(F.col("label").alias("seq"))
+    return C.distinct_kmers(labels, 14, "both")
 
 
 @query(f"SELECT kmer FROM {KMERS(_LONG, 13)} UNION SELECT {RC('kmer')} FROM {KMERS(_LONG, 13)}")
