@@ -80,10 +80,8 @@ _ENDS = f"SELECT {CANONICAL('right(label, 11)')} FROM e WHERE dst IS NULL"
 
 @query(f"WITH {_E2} SELECT * FROM {SPARSE(_LABELS, f'({_RARE} OR {CANONICAL("kmer")} IN ({_ENDS}))', 11)}")
 def f5_tied_tips(spark, sf):
-    reads, _ = materialise(seqs(spark, sf), "reads")
-    vertices, _ = materialise(_rare(reads), "vertices")
-    edges, _ = materialise(Y.sparse_edges(reads, vertices, 11, False).select("dst", "label"), "labels")
-    return Y.tie_tips(edges, vertices, 11)
+    reads = _reads(spark, sf)
+    return Y.tied_edges(reads, _rare(reads), 11)
 
 
 @query(None)
