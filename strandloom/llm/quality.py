@@ -123,7 +123,7 @@ def scores(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, weights: n
 def fit(x: list[tuple[np.ndarray, np.ndarray]], extra: np.ndarray, target: np.ndarray, epochs: int = 150, rate: float = 1.0) -> np.ndarray:
     """Logistic weights on trigram shares and the extra columns, by full gradient steps scaled to each feature (AdaGrad)."""
     doc = np.repeat(np.arange(len(x)), [len(i) for i, _ in x])
-    feature, value = np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])
+    feature, value = np.concatenate([i for i, _ in x]).astype(np.int64), np.concatenate([v for _, v in x]).astype(float)
     weights, seen = np.zeros(BUCKETS + extra.shape[1]), np.full(BUCKETS + extra.shape[1], 1e-8)
     balance = np.where(target > 0.5, 0.5 / max((target > 0.5).mean(), 1e-3), 0.5 / max((target <= 0.5).mean(), 1e-3))
     balance = np.sqrt(balance)
@@ -159,27 +159,30 @@ def quality_scores(docs: DataFrame, train_rows: int = 4000, threshold: float = 0
     patterns, n = np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], float)
     share, table = accuracies(patterns, n)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, own, targets = [], [], []
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             values, counts = properties(data, offsets)
             h, sizes = trigrams(data, offsets)
             target = posterior(answers(values, counts) + 1, share, table)
-            ends, rows = np.cumsum(sizes), []
+            ends = np.cumsum(sizes)
             for k in np.flatnonzero(counts > 0):
                 feature, times = np.unique(h[ends[k] - sizes[k] : ends[k]], return_counts=True)
-                rows.append((feature.astype(np.int32).tobytes(), (times / (sizes[k] + SHRINK)).astype(np.float32).tobytes(), values[k].tobytes(), float(target[k])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["f", "v", "x", "y"])
+                x.append((feature.astype(np.int32), (times / (sizes[k] + SHRINK)).astype(np.float32)))
+                own.append(values[k])
+                targets.append(float(target[k]))
+        if x:
+            weights = fit(x, _extra(np.array(own)), np.array(targets))
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
     weights = np.zeros(BUCKETS + 3)
     if len(n):
         part = min(1.0, 1.1 * train_rows / n.sum())
-        chosen = texts.filter((F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) < part).orderBy("h").limit(train_rows).mapInArrow(trimmed(sample), "f binary, v binary, x binary, y double").collect()
-        if chosen:
-            x = [(np.frombuffer(r["f"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(float)) for r in chosen]
-            values = np.array([np.frombuffer(r["x"], float) for r in chosen])
-            weights = fit(x, _extra(values), np.array([r["y"] for r in chosen]))
+        # a limit's rows are in one task, which fits on them: the driver gets the weights alone, two megabytes
+        chosen = texts.filter((F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) < part).orderBy("h").limit(train_rows)
+        for (found,) in chosen.mapInArrow(trimmed(learn), "weights binary").collect():
+            weights = np.frombuffer(found, float)
     shared = spark.sparkContext.broadcast((weights, share, table))  # two megabytes
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_posterior", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())])
 

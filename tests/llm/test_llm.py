@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -419,6 +420,32 @@ def test_quality_held_out(spark):
     assert quality_scores(df.limit(0)).count() == 0
 
 
+def test_quality_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver gets the weights, not the sample."""
+    from strandloom.llm import quality as Q
+
+    driver, fit = os.getpid(), Q.fit
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    monkeypatch.setattr(Q, "fit", elsewhere)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["the", "other", "thing", "is", "ready"]) + (rng.choice(["***", "%%%"]) if i % 4 == 0 else "") for _ in range(80))) for i in range(80)]
+    found = Q.quality_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and all(r["quality_kept"] == (r["doc_id"] % 4 > 0) for r in found)
+
+
+def test_driver_gives_native_memory_back(spark):
+    from strandloom.operators import shared
+
+    version = [int(x) for x in spark._jvm.java.lang.System.getProperty("java.version").split("-")[0].split(".")]
+    if version >= [17, 0, 9] and os.path.exists("/proc/self/smaps_rollup"):
+        assert shared.trim_jvm(spark)
+    shared.release(spark)
+
+
 def test_labellers_are_learnt():
     from strandloom.llm import quality as Q
 
