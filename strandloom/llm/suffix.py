@@ -20,11 +20,13 @@ kept; a column named ``removed`` is replaced.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +35,16 @@ from strandloom.llm import chunks
 from strandloom.llm.text import CODES, U, flat, mix, powers, prefix_hash, trim, trimmed
 from strandloom.operators.shared import materialise, release, remove
 
-CHUNK, SEGMENT = 2 << 20, 1 << 18
+CHUNK, SEGMENT = 2 << 20, 1 << 16
 #: Bytes of an anchor; surroundings of one anchor from which it is dealt over buckets, SPREAD at least and twice as many for each
 #: doubling; from which strings are sorted one by one.
 ANCHOR, MANY, SPREAD, FEW = 24, 4096, 64, 12
+#: Pairs that are compared at once; rows of a batch handed to Spark.
+PAIRS, ROWS = 1 << 16, 10000
 LAST = np.iinfo(np.int64).max
-SUFFIX = "lead binary, salt int, bytes binary, anchor int, doc_id long, tie long, start long, chunk long, inst int"
+SUFFIX = "lead binary, salt int, bytes binary, anchor int, doc_id long, tie long, start long, chunk long, low int"
+#: What comes back for a chunk, by places in its bytes: [low, past) to remove; strings that are first though dealt; runs [low, past) of dealt strings.
+SPANS, FIRST, DEALT = chunks.WINDOWS, chunks.WINDOWS + 1, chunks.WINDOWS + 2
 
 
 class Groups:
@@ -59,21 +65,20 @@ class Groups:
                 best = np.minimum(best[:-step], best[step:])
                 step *= 2
             best = np.minimum(best[:n], best[width - step :][:n])
-            at_anchor = (best & U(0xFFFFFFFF)).astype(np.int64)
-            valid = np.zeros(n + 1, np.int32)  # strings that end within their document
+            valid = np.zeros(n + 1, np.int8)  # strings that end within their document
             docs = slice(max(0, int(np.searchsorted(offsets, at, side="right")) - 1), int(np.searchsorted(offsets, at + n)))
             first, past = offsets[:-1][docs] - at, offsets[1:][docs] - length + 1 - at
             fine = past > first
             np.add.at(valid, np.clip(first[fine], 0, n), 1)
             np.add.at(valid, np.clip(past[fine], 0, n), -1)
-            inside = np.cumsum(valid[:n]) > 0
+            inside = np.cumsum(valid[:n], dtype=np.int8) > 0
             doc_start = np.zeros(n, bool)
             doc_start[first[(first >= 0) & (first < n)]] = True
             new = inside.copy()
-            new[1:] &= (at_anchor[1:] != at_anchor[:-1]) | ~inside[:-1] | doc_start[1:]
+            new[1:] &= (best[1:] != best[:-1]) | ~inside[:-1] | doc_start[1:]
             l = np.flatnonzero(new)
             stop = np.flatnonzero(inside & ~np.r_[inside[1:] & ~new[1:], False]) + 1
-            e, a = stop + length - 1, at_anchor[l]
+            e, a = stop + length - 1, (best[l] & U(0xFFFFFFFF)).astype(np.int64)
             content = (prefix[e] - prefix[l]) * inverse[l]
             low.append(l + at)
             end.append(e + at)
@@ -85,10 +90,13 @@ class Groups:
         self.key, self.body = join(key, U), join(body, U)
         self.doc = np.searchsorted(offsets, self.low, side="right") - 1
         order = np.argsort(self.key, kind="stable")
-        order = order[np.lexsort((self.body[order], self.key[order]))] if len(order) else order  # stable: occurrences stay in order
-        k, b = self.key[order], self.body[order]
+        k = self.key[order]
         new_key = np.ones(len(k), bool)
         new_key[1:] = k[1:] != k[:-1]
+        tied = np.flatnonzero(~(new_key & np.r_[new_key[1:], True]))
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((self.body[rows], self.key[rows]))]  # stable: occurrences stay in order
+        b = self.body[order]
         new_body = new_key.copy()
         new_body[1:] |= b[1:] != b[:-1]
         #: sorted occurrences; entry (distinct anchor) of each; whether it is its bytes' first in the chunk
@@ -167,40 +175,38 @@ def _very_many(total: np.ndarray) -> np.ndarray:
     return (4 + np.ceil(np.log2(np.maximum(total / (2 * MANY), 1)))).astype(np.uint8)
 
 
-def _entry_status(g: Groups, back: list[tuple[int, bytes, int]]) -> np.ndarray:
+def _entry_status(back: list[tuple[int, bytes, int]]) -> np.ndarray:
     found = [chunks.unarrays(blob)[0] for _, blob, kind in back if kind == chunks.ANSWER]
     return np.concatenate(found) if found else np.zeros(0, np.uint8)
 
 
 def _characters(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on as one big-endian number."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(data) + 1, U)
-    for k in range(8):
-        out = (out << U(8)) | padded[k : k + len(out)]
-    return out
+    """The 8 bytes from each position on as one little-endian number, as a view of the bytes."""
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 def multikey_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort by group, then by the characters text[at + step] for each step in turn; only rows that are still equal
     to another are looked at again. Gives the order and the class of equal rows in it."""
-    n = len(at)
     order = np.argsort(group, kind="stable")
-    label = np.zeros(n, np.int64)
-    label[1:] = np.cumsum(group[order][1:] != group[order][:-1])
+    new = np.ones(len(at), bool)
+    new[1:] = group[order][1:] != group[order][:-1]
+    place, own, first = np.arange(len(at)), np.cumsum(new), new
     for step in steps:
-        tied = np.bincount(label, minlength=n)[label] > 1
-        if not tied.any():
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        place, own = place[~alone], own[~alone]
+        if not len(place):
             break
-        place = np.flatnonzero(tied)
-        key = text[at[order[place]] + step]
-        inner = np.lexsort((key, label[place]))
-        order[place] = order[place][inner]
-        key, own = key[inner], label[place]
-        split = np.zeros(n, np.int64)
-        split[place[1:]] = (own[1:] == own[:-1]) & (key[1:] != key[:-1])
-        label = label + np.cumsum(split)
-    return order, label
+        rows = order[place]
+        key = text[at[rows] + step].byteswap()  # bytes in order
+        inner = np.lexsort((key, own))
+        order[place], key = rows[inner], key[inner]
+        first = np.ones(len(place), bool)
+        first[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+        new[place[first]] = True
+        own = np.cumsum(first)
+    return order, np.cumsum(new) - 1
 
 
 def _reach(text: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
@@ -210,45 +216,69 @@ def _reach(text: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, bac
     while len(live):
         shift = -8 * (step + 1) if back else 8 * step
         differ = text[i[live] + shift] ^ text[j[live] + shift]
-        bits = differ.copy()
-        if back:  # lowest byte first
-            bits = differ & (~differ + U(1))
-        equal = np.full(len(live), 8)
         some = differ != 0
-        exponent = np.minimum(np.frexp(bits[some].astype(np.float64))[1] - 1, 63)
-        high = (differ[some] >> exponent.astype(U)) & U(1)
-        exponent = np.where(high == 0, exponent - 1, exponent) if not back else exponent  # rounding up to the next power
-        equal[some] = exponent // 8 if back else 7 - exponent // 8
+        bits = differ[some]
+        if back:  # highest byte first: without the bits after the first one, rounding cannot reach the next power
+            bits &= ~(bits >> U(1))
+        else:  # lowest byte first
+            bits &= ~bits + U(1)
+        equal = np.full(len(live), 8)
+        place = (np.frexp(bits.astype(np.float64))[1] - 1) // 8
+        equal[some] = 7 - place if back else place
         out[live] = 8 * step + equal
         live = live[~some & (8 * (step + 1) < most[live])]
         step += 1
     return np.minimum(out, most)
 
 
-def _bucket(rows: pa.Table, length: int) -> tuple[list, list]:
-    """Later strings of all suffixes of a bucket (chunk, inst, mask), and digests of those still first where the anchor is dealt over buckets."""
+def _pairs(number: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within classes of 2 to FEW rows, some at a time."""
+    held, size = [], 0
+    for c in range(2, FEW + 1):
+        x, y = np.triu_indices(c, 1)
+        at = begins[number == c]
+        each = max(1, PAIRS // len(x))
+        for k in range(0, len(at), each):
+            held.append(((at[k : k + each, None] + x).ravel(), (at[k : k + each, None] + y).ravel()))
+            size += len(held[-1][0])
+            if size >= PAIRS:
+                yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+
+
+def _pairs_of(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2).astype(np.int64)
+
+
+def _bucket(rows: pa.Table, length: int) -> tuple[list, list, list]:
+    """Of all suffixes of a bucket: spans of later strings and runs of strings of dealt anchors, both as chunk, low, past, and digests of
+    the strings of dealt anchors that are still first."""
     data, offsets = flat(rows.column("bytes"))
     pad = np.zeros(256, np.uint8)
     text = _characters(np.concatenate([pad, data, pad]))
     base, end = offsets[:-1] + 256, offsets[1:] + 256
     anchor = base + rows.column("anchor").to_numpy()
-    ids, ties, start, salt = (rows.column(c).to_numpy() for c in ("doc_id", "tie", "start", "salt"))
+    ids, ties, start, salt, number_of, place = (rows.column(c).to_numpy() for c in ("doc_id", "tie", "start", "salt", "chunk", "low"))
     order, label = multikey_sort(text, anchor, salt, np.arange(0, ANCHOR, 8))
     number = np.bincount(label)
     later = np.zeros(len(data) + 513, np.int32)  # marks of strings, by the place of their first byte
     begins = np.cumsum(number) - number
-    for c in range(2, FEW + 1):
-        at = begins[number == c]
-        for x in range(c):
-            for y in range(x):
-                i, j = order[at + x], order[at + y]
-                swap = np.where(ids[i] != ids[j], ids[i] < ids[j], np.where(ties[i] != ties[j], ties[i] < ties[j], start[i] + anchor[i] - base[i] < start[j] + anchor[j] - base[j]))
-                i, j = np.where(swap, j, i), np.where(swap, i, j)  # i is later
-                right = _reach(text, anchor[i], anchor[j], np.minimum(end[i] - anchor[i], end[j] - anchor[j]), False)
-                left = _reach(text, anchor[i], anchor[j], np.minimum(anchor[i] - base[i], anchor[j] - base[j]), True)
-                both = left + right >= length
-                np.add.at(later, (anchor[i] - left)[both], 1)
-                np.add.at(later, (anchor[i] + right - length + 1)[both], -1)
+    before = np.empty(len(base), np.int64)  # places in the order of strings
+    before[np.lexsort((place, number_of, start + anchor - base, ties, ids))] = np.arange(len(base))
+    for x, y in _pairs(number, begins):
+        i, j = order[x], order[y]
+        i = np.where(before[i] < before[j], j, i)  # i is later
+        j = order[x] + order[y] - i
+        right = _reach(text, anchor[i], anchor[j], np.minimum(end[i] - anchor[i], end[j] - anchor[j]), False)
+        most = np.minimum(anchor[i] - base[i], anchor[j] - base[j])
+        near = right + most >= length
+        i, j, right = i[near], j[near], right[near]
+        left = _reach(text, anchor[i], anchor[j], most[near], True)
+        both = left + right >= length
+        np.add.at(later, (anchor[i] - left)[both], 1)
+        np.add.at(later, (anchor[i] + right - length + 1)[both], -1)
     later = np.cumsum(later)
     steps = np.r_[np.arange(0, length - 7, 8), length - 8]
     large, batch, size = np.flatnonzero(number > FEW), [], 0
@@ -264,26 +294,35 @@ def _bucket(rows: pa.Table, length: int) -> tuple[list, list]:
         own = np.repeat(rank, count)
         at = np.repeat(base[rank], count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
         inner, same = multikey_sort(text, at, np.repeat(which, count) * 1024 + (anchor[own] - at), steps)
-        by = np.lexsort((start[own[inner]] + at[inner] - base[own[inner]], ties[own[inner]], ids[own[inner]], same))
+        by = np.lexsort((before[own[inner]], same))  # equal strings lie as far before their anchors
         inner, same = inner[by], same[by]
         again = np.zeros(len(same), bool)
         again[1:] = same[1:] == same[:-1]
         later[at[inner[again]]] = 1
-    number_of, inst = rows.column("chunk").to_pylist(), rows.column("inst").to_pylist()
-    masks, firsts = [], []
-    hashes = None
-    for r in range(len(base)):
-        mask = later[base[r] : end[r] - length + 1] > 0
-        if salt[r] < 0:
-            masks.append((number_of[r], inst[r], np.packbits(mask).tobytes()))
-            continue
-        if hashes is None:
-            hashes = prefix_hash(data), prefix_hash(data, mix(CODES)), powers(len(data) + 1)[1]
-        w = np.flatnonzero(~mask)
-        p = w + base[r] - 256
-        digests = [mix((h[p + length] - h[p]) * hashes[2][p]).view(np.int64) for h in hashes[:2]]
-        firsts += zip(*(x.tolist() for x in digests), [int(ids[r])] * len(w), [int(ties[r])] * len(w), (w + start[r]).tolist(), [number_of[r]] * len(w), [inst[r]] * len(w), w.tolist(), strict=True)
-    return masks, firsts
+    marked = np.zeros(len(later) + 1, np.int8)  # strings that end within their row and begin later, without dealt ones
+    count = np.where(salt < 0, end - base - length + 1, 0)
+    np.add.at(marked, base, 1)
+    np.add.at(marked, base + count, -1)
+    marked = (np.cumsum(marked[:-1], dtype=np.int8) > 0) & (later > 0)
+    edge = np.diff(marked.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    low, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    own = np.searchsorted(base, low, side="right") - 1
+    spans = [number_of[own], low - base[own] + place[own], past - base[own] + place[own] + length - 1]
+    runs, firsts = [], []
+    dealt = np.flatnonzero(salt >= 0)
+    if len(dealt):
+        hashes = prefix_hash(data), prefix_hash(data, mix(CODES))
+        inverse = powers(len(data) + 1)[1]
+        count = end[dealt] - base[dealt] - length + 1
+        own = np.repeat(dealt, count)
+        w = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        keep = later[base[own] + w] <= 0
+        own, w = own[keep], w[keep]
+        p = w + base[own] - 256
+        digests = [mix((h[p + length] - h[p]) * inverse[p]).view(np.int64) for h in hashes]
+        runs = [number_of[dealt], place[dealt], place[dealt] + count]
+        firsts = [*digests, ids[own], ties[own], w + start[own], number_of[own], w + place[own]]
+    return spans, runs, firsts
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,78 +341,86 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     def surroundings(number: int, batch: pa.RecordBatch, back: list[tuple[int, bytes, int]]) -> pa.Table:
         _, ids, ties, data, offsets = _ordered(batch, id_col, text_col)
         g = Groups(data, offsets, length)
-        state = _entry_status(g, back)
+        state = _entry_status(back)
         at = np.flatnonzero(g.leads & (state[g.entry] >= 3)) if len(state) else np.zeros(0, np.int64)
         inst = g.order[at]
-        body = pa.array([data[a:b].tobytes() for a, b in zip(g.low[inst], g.end[inst], strict=True)], pa.binary())
-        lead = pa.array([data[a : a + ANCHOR].tobytes() for a in g.anchor[inst]], pa.binary())
+        body = [data[a:b].tobytes() for a, b in zip(g.low[inst], g.end[inst], strict=True)]
+        lead = [data[a : a + ANCHOR].tobytes() for a in g.anchor[inst]]
         many = state[g.entry[at]] if len(at) else np.zeros(0, np.uint8)
         salt = np.where(many >= 4, (g.body[inst] % (U(SPREAD) << np.maximum(many, 4).astype(U) - U(4))).astype(np.int64), -1)
         doc = g.doc[inst]
-        return pa.table({"lead": lead, "salt": pa.array(salt.astype(np.int32)), "bytes": body, "anchor": pa.array((g.anchor[inst] - g.low[inst]).astype(np.int32)), "doc_id": pa.array(ids[doc]), "tie": pa.array(ties[doc]), "start": pa.array(g.low[inst] - offsets[:-1][doc]), "chunk": pa.array(np.full(len(at), number)), "inst": pa.array(inst.astype(np.int32))})
+        columns = [salt, g.anchor[inst] - g.low[inst], ids[doc], ties[doc], g.low[inst] - offsets[:-1][doc], np.full(len(at), number), g.low[inst]]
+        gone = np.sort(g.order[~g.leads | (state[g.entry] == 2)]) if len(state) else at
+        if len(gone):  # settled already: a row that passes through the bucket of an even key
+            low, end = g.low[gone], np.maximum.accumulate(g.end[gone])
+            new = np.flatnonzero(np.r_[True, low[1:] > end[:-1]])
+            body.append(np.column_stack([low[new], end[np.r_[new[1:] - 1, len(end) - 1]]]).astype("<i4").tobytes())
+            lead.append(mix(np.array([number], U) + U(1)).tobytes())
+            columns = [np.r_[x, y] for x, y in zip(columns, (-1, -1, 0, 0, 0, number, 0), strict=True)]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32()]
+        salt, anchor, *rest = (pa.array(x, t) for x, t in zip(columns, kinds, strict=True))
+        return pa.Table.from_arrays([pa.array(lead, pa.binary()), salt, pa.array(body, pa.binary()), anchor, *rest], names=["lead", "salt", "bytes", "anchor", "doc_id", "tie", "start", "chunk", "low"])
 
     suffixes, suffix_path = materialise(chunks.with_answers(payload, status, surroundings, SUFFIX), "suffixes")
+    remove(spark, status_path)
     release(spark)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]  # one bucket between splitters
         if not held:
             return
-        masks, firsts = _bucket(pa.Table.from_batches(held).combine_chunks(), length)
+        whole = pa.Table.from_batches(held).combine_chunks()
         del held
+        settled = pc.less(whole.column("anchor"), 0)
+        ready, whole = whole.filter(settled), whole.filter(pc.invert(settled)).combine_chunks()
+        spans, runs, firsts = _bucket(whole, length)
+        del whole
         trim()
-        by_chunk: dict[int, list] = {}
-        for number, inst, mask in masks:
-            by_chunk.setdefault(number, []).append((inst, mask))
-        out = [(number, -1, chunks.arrays(np.array([x[0] for x in found], np.int32), np.array([len(x[1]) for x in found], np.int32), np.frombuffer(b"".join(x[1] for x in found), np.uint8)), chunks.WINDOWS) for number, found in by_chunk.items()]
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        more = list(zip(*firsts, strict=True)) if firsts else [[]] * 8
-        pad = [None] * len(firsts)
-        whole = [list(columns[0]) + list(more[5]), list(columns[1]) + pad, list(columns[2]) + pad, list(columns[3]) + pad]
-        none = [None] * len(out)
-        extra = [none + list(more[k]) for k in (0, 1, 2, 3, 4, 6, 7)]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*whole, *extra], kinds, strict=True)], names=["chunk", "shard", "blob", "kind", "hi", "lo", "doc_id", "tie", "at", "inst", "w"])
+        out = [(number, -1, blob, SPANS) for number, blob in zip(ready.column("chunk").to_pylist(), ready.column("bytes").to_pylist(), strict=True)]
+        for kind, found in ((SPANS, spans), (DEALT, runs)):
+            if found and len(found[0]):
+                by = np.argsort(found[0], kind="stable")
+                number, pairs = found[0][by], np.column_stack(found[1:])[by].astype("<i4")
+                cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+                out += [(n, -1, x.tobytes(), kind) for n, x in zip(number[cuts].tolist(), np.split(pairs, cuts[1:]), strict=True)]
+        names = ["chunk", "shard", "blob", "kind", "hi", "lo", "doc_id", "tie", "at", "place"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 5, pa.int32()]
+        if out:
+            whole = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(len(out), t) for t in kinds[4:])], names=names)
+        for k in range(0, len(firsts[0]) if firsts else 0, ROWS):
+            hi, lo, doc, tie, at, number, place = (x[k : k + ROWS] for x in firsts)
+            none = [pa.nulls(len(hi), t) for t in kinds[1:4]]
+            yield pa.RecordBatch.from_arrays([pa.array(number), *none, *(pa.array(x, t) for x, t in zip((hi, lo, doc, tie, at, place), kinds[4:], strict=True))], names=names)
 
     spread = suffixes.repartitionByRange(4 * shards, "lead", "salt")
-    done, done_path = materialise(spread.mapInArrow(sort, chunks.FIELDS + ", hi long, lo long, doc_id long, tie long, at long, inst int, w int"), "sorted")
+    done, done_path = materialise(spread.mapInArrow(sort, chunks.FIELDS + ", hi long, lo long, doc_id long, tie long, at long, place int"), "sorted")
     # across bucket boundaries: the first of all strings with this digest, by a hash aggregate
-    first = done.filter("kind is null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "tie", "at", "chunk", "inst", "w")).alias("f"))
-    first = first.select("f.chunk", "f.inst", "f.w").groupBy("chunk").agg(F.collect_list(F.struct("inst", "w")).alias("x"))
-    first = first.select("chunk", F.lit(-2).cast("int").alias("shard"), F.to_json("x").cast("binary").alias("blob"), F.lit(chunks.WINDOWS + 1).alias("kind"))
-    back = status.unionByName(done.filter("kind is not null").select("chunk", "shard", "blob", "kind")).unionByName(first)
+    first = done.filter("kind is null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "tie", "at", "chunk", "place")).alias("f"))
+    first = first.select("f.chunk", "f.place").groupBy("chunk").agg(F.collect_list("place").alias("x"))
+    first = first.select("chunk", F.lit(-2).cast("int").alias("shard"), F.to_json("x").cast("binary").alias("blob"), F.lit(FIRST).alias("kind"))
+    back = done.filter("kind is not null").select("chunk", "shard", "blob", "kind").unionByName(first)
     remove(spark, suffix_path)
     release(spark)
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def cover(number: int, batch: pa.RecordBatch, back: list[tuple[int, bytes, int]]) -> pa.Table:
-        import json
-
         batch, _, _, data, offsets = _ordered(batch, id_col, text_col)
-        g = Groups(data, offsets, length)
-        state = _entry_status(g, back)
         marks = np.zeros(len(data) + 1, np.int32)
-        if len(state):
-            gone = ~g.leads | (state[g.entry] == 2)
-            inst = g.order[gone]
-            np.add.at(marks, g.low[inst], 1)
-            np.add.at(marks, g.end[inst], -1)
-            masks: dict[int, np.ndarray] = {}
-            for i in g.order[g.leads & (state[g.entry] >= 4)].tolist():
-                masks[i] = np.ones(g.end[i] - g.low[i] - length + 1, bool)
+        spans, dealt = (_pairs_of([blob for _, blob, kind in back if kind == k]) for k in (SPANS, DEALT))
+        np.add.at(marks, spans[:, 0], 1)
+        np.add.at(marks, spans[:, 1], -1)
+        if len(dealt):  # all their strings but those that came back as first
+            strings = np.zeros(len(data) + 1, np.int32)
+            np.add.at(strings, dealt[:, 0], 1)
+            np.add.at(strings, dealt[:, 1], -1)
+            strings = np.cumsum(strings)
             for _, blob, kind in back:
-                if kind == chunks.WINDOWS:
-                    which, sizes, bits = chunks.unarrays(blob)
-                    ends = np.cumsum(sizes)
-                    for i, n, e in zip(which.tolist(), sizes.tolist(), ends.tolist(), strict=True):
-                        masks[i] = np.unpackbits(bits[e - n : e])[: g.end[i] - g.low[i] - length + 1] > 0
-                elif kind == chunks.WINDOWS + 1:
-                    for x in json.loads(blob):
-                        masks[x["inst"]][x["w"]] = False
-            for i, mask in masks.items():
-                edge = np.diff(np.r_[0, mask.astype(np.int8), 0])
-                np.add.at(marks, g.low[i] + np.flatnonzero(edge == 1), 1)
-                np.add.at(marks, g.low[i] + np.flatnonzero(edge == -1) + length - 1, -1)
+                if kind == FIRST:
+                    strings[json.loads(blob)] = 0
+            edge = np.diff(strings, prepend=0)
+            np.add.at(marks, np.flatnonzero(edge == 1), 1)
+            np.add.at(marks, np.flatnonzero(edge == -1) + length - 1, -1)
         covered = np.cumsum(marks[:-1]) > 0
         before = np.r_[False, covered[:-1]] if len(covered) else covered
         full = offsets[:-1] < offsets[1:]

@@ -77,7 +77,7 @@ def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
 def prefix_hash(data: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
     """P with (P[e] - P[s]) * base**-s a polynomial hash of data[s:e]."""
     out = np.zeros(len(data) + 1, U)
-    np.cumsum(codes[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(codes.take(data) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 

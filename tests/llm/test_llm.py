@@ -504,6 +504,47 @@ def test_suffix_of_anchors_with_many_surroundings(spark):
     assert found == plain_spans(rows, 100)
 
 
+def test_suffix_dealt_anchors(spark):
+    """More surroundings than MANY: strings of dealt anchors come back as digests."""
+    from strandloom.llm import suffix as S
+
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows = []
+    for i in range(S.MANY + 500):
+        side = f"{i % (S.MANY + 300):06d}" * 6  # the last two hundred are copies
+        rows.append((i, side + passage + side))
+    df, _ = documents(spark, rows)
+    found = got(S.digests(S.repeated_spans(df, 100)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == plain_spans(rows, 100)
+
+
+def test_suffix_bucket_compares_in_few_passes(monkeypatch):
+    """Anchors with 2 to FEW surroundings are compared together, however many pairs they have, and equal rows in the order of their chunks."""
+    import pyarrow as pa
+
+    from strandloom.llm import suffix as S
+
+    rng, rows, want = random.Random(14), [], []
+    for c in range(2, S.FEW + 1):
+        passage = bytes(rng.randrange(256) for _ in range(114))
+        for k in range(c):
+            side = bytes([97 + k]) * 10
+            rows.append((passage[40:64], -1, side + passage + side, 50, 100 * c + k, 0, 0, c, 1000 * k))
+            want += [(c, 1000 * k + 10, 1000 * k + 124)] if k else []
+    twice = bytes(rng.randrange(256) for _ in range(130))
+    rows += [(twice[50:74], -1, twice, 50, 7, 0, 0, chunk, 0) for chunk in (91, 90)]
+    want.append((91, 0, 130))
+    calls, reach = [], S._reach
+    monkeypatch.setattr(S, "_reach", lambda *a: calls.append(1) or reach(*a))
+    names = [x.split()[0] for x in S.SUFFIX.split(", ")]
+    for _ in range(2):
+        rng.shuffle(rows)
+        spans = S._bucket(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))), 100)[0]
+        assert sorted(zip(*(x.tolist() for x in spans), strict=True)) == sorted(want)
+    assert len(calls) <= 4  # to the right and to the left, each time
+
+
 def test_top_k_refuses_what_does_not_fit(spark):
     from strandloom.llm.topk import exact_top_k
 
